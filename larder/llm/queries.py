@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bpe, media, simhash
+from larder.llm import bpe, media, simhash, suffix_dedup
 from larder.llm.common import table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.features(media.store_texts(table(spark, sf_dir, "documents")), keep_media=False)
     tile = F.substring(F.sha2("tile_npy", 256), 1, 16)
@@ -28,6 +32,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_media_columns": op3_media_columns,
     "op7_simhash": op7_simhash,
     "op9_byte_bpe": op9_byte_bpe,
