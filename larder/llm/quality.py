@@ -154,7 +154,7 @@ def co_train(text: Rows, meta: Rows, target: np.ndarray, *, rounds: int = ROUNDS
     """target: 0 or 1 for labelled rows, NaN for the pool. A fifth of the labelled rows is held out for calibration."""
     labelled = np.flatnonzero(~np.isnan(target))
     model = Model(float(target[labelled].mean()) if len(labelled) else None)
-    held = labelled[::5]
+    held = np.random.default_rng(5).permutation(labelled)[: len(labelled) // 5]
     base = np.setdiff1d(labelled, held)
     if len(held) < 10 or len(np.unique(target[held])) < 2 or len(np.unique(target[base])) < 2:
         return model
