@@ -68,10 +68,11 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """From (tree, node, parent, score): (tree, node, depth, total, leaf) of the nodes that have a root, and the pointers.
+def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """From (tree, node, parent, score): (tree, node, depth, total, leaf) of the nodes that have a root; pointers; old frames.
 
-    The k-th frame of pointers is (tree, node, up), where up is 2^k answers above the node.
+    The k-th frame of pointers is (tree, node, up), where up is 2^k answers above the node. Only nodes that haven't reached
+    their root take part in a further join.
     """
     links = nodes.select("tree", "node", "parent", "score")
     exists = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
@@ -79,17 +80,17 @@ def branches(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     # depth and total: of the nodes from this one up to, and without, `up`; complete where up is null
     now = cut(links.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")))
     n = now.count()
-    pointers: list[DataFrame] = []
-    while True:
-        pointers.append(now)
-        if not now.where("up IS NOT NULL").limit(1).count() or 1 << len(pointers) > 2 * n + 2:
-            break
-        above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        joined = now.join(above, ["tree", "up"], "left")
-        now = cut(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
+    done, open_ = now.where("up IS NULL"), now.where("up IS NOT NULL")
+    pointers, old = [], [now]
+    while open_.limit(1).count() and 1 << len(pointers) <= 2 * n:  # beyond that only cycles are open
+        pointers.append(open_)
+        above = done.union(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        now = cut(open_.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")))
+        old.append(now)
+        done, open_ = done.union(now.where("up IS NULL")), now.where("up IS NOT NULL")
     parents = nodes.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct().withColumn("inner", F.lit(True))
-    done = now.where("up IS NULL").join(parents, ["tree", "node"], "left")
-    return done.select("tree", "node", "depth", "total", F.col("inner").isNull().alias("leaf")), pointers
+    done = done.join(parents, ["tree", "node"], "left")
+    return done.select("tree", "node", "depth", "total", F.col("inner").isNull().alias("leaf")), pointers, old
 
 
 def best_paths(nodes: DataFrame, n_best: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -97,17 +98,17 @@ def best_paths(nodes: DataFrame, n_best: int) -> tuple[DataFrame, list[DataFrame
 
     Branches are ranked by their nodes' summed score, then by depth, then by the leaf's id.
     """
-    found, pointers = branches(nodes)
+    found, pointers, old = branches(nodes)
     order = Window.partitionBy("tree").orderBy(F.desc("total"), F.desc("depth"), "node")
     leaves = found.where("leaf").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_best)
     marked = cut(leaves.select("tree", "rank", "node"))
-    old = [marked]
+    old.append(marked)
     for up in reversed(pointers):
-        above = marked.join(up.where("up IS NOT NULL").select("tree", "node", "up"), ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"))
+        above = marked.join(up.select("tree", "node", "up"), ["tree", "node"]).select("tree", "rank", F.col("up").alias("node"))
         marked = cut(marked.union(above))
         old.append(marked)
     depth = found.select("tree", "node", "depth")
-    return marked.join(depth, ["tree", "node"]), [*pointers, *old]
+    return marked.join(depth, ["tree", "node"]), old
 
 
 def format_trees(nodes: DataFrame, *, n_best: int = 1, loss_role: str = LOSS_ROLE) -> DataFrame:
