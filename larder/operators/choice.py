@@ -65,7 +65,8 @@ def build_mappings(recipes: DataFrame, products: DataFrame, urls: DataFrame, mod
     recipes: (recipe_idx, N, U, I array of (raw, product_ids, optionally package_info)). Of recipes with one hash the last wins.
     """
     mapped = recipes.join(urls, "U")
-    lines = mapped.select("recipe_idx", F.posexplode("I").alias("pos_in_recipe", "ing")).select("recipe_idx", "pos_in_recipe", "ing.*")
+    fields = [f"ing.{f.name}" for f in mapped.schema["I"].dataType.elementType.fields if f.name in ("raw", "product_ids", "package_info")]
+    lines = mapped.select("recipe_idx", F.posexplode("I").alias("pos_in_recipe", "ing")).select("recipe_idx", "pos_in_recipe", *fields)
     best = pick(candidates(lines, products), ["recipe_idx", "pos_in_recipe", "raw"], mode)
     entries = best.select("recipe_idx", ingredient_name(F.col("raw")).alias("name"), "raw", "product_id", F.col("packages").alias("amount"), "cost", F.col("pos_in_recipe").alias("pos"))
     chosen = dedupe_names(entries, ["recipe_idx"]).groupBy("recipe_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "raw", "product_id", "amount"))).alias("list"))
@@ -78,7 +79,7 @@ def build_mappings(recipes: DataFrame, products: DataFrame, urls: DataFrame, mod
 def mapping_counts(recipes: DataFrame, products: DataFrame, urls: DataFrame) -> DataFrame:
     """One row: recipes mapped, without a mapping, ingredients of recipes that have one, and those without a product."""
     known = recipes.join(urls.select("U", F.lit(True).alias("known")), "U", "left")
-    lines = known.where("known").select("recipe_idx", F.posexplode("I").alias("p", "ing")).select("recipe_idx", "p", "ing.*")
+    lines = known.where("known").select("recipe_idx", F.posexplode("I").alias("p", "ing")).select("recipe_idx", "p", "ing.product_ids")
     found = lines.select("recipe_idx", "p", F.explode("product_ids").alias("id")).join(products.select("id"), "id", "left_semi").select("recipe_idx", "p").distinct()
     per_line = lines.select("recipe_idx", "p").join(found.withColumn("hit", F.lit(1)), ["recipe_idx", "p"], "left")
     a = known.agg(F.count_if(F.col("known").isNull()).alias("no_mapping"))
