@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from larder.llm.common import map_arrow, text_or_empty
 WORD_DIM, SHAPE_DIM, EXTRA_DIM = 1 << 18, 512, 4
 TEXT_DIM = WORD_DIM + SHAPE_DIM + EXTRA_DIM
 META_DIM = 1 << 10
-N_LABELLED, N_POOL, ROUNDS = 5_000, 4_000, 3
+N_LABELLED, N_POOL, ROUNDS = 4_000, 3_000, 3
 CONFIDENT = 0.97
 CACHE_TOKENS = 300_000
 #: Columns of labels: probability of the value 1, and whether that value is the good one.
@@ -90,6 +91,17 @@ class Rows:
         self.place = np.concatenate([*(p for p, _ in rows), np.zeros(0, np.int32)]).astype(np.int64)
         self.value = np.concatenate([*(v for _, v in rows), np.zeros(0, np.float32)]).astype(np.float64)
 
+    @classmethod
+    def of(cls, places: pa.ChunkedArray, values: pa.ChunkedArray, dim: int) -> Rows:
+        """From columns of lists."""
+        out = cls([], dim)
+        out.n = len(places)
+        if out.n:
+            out.row = np.repeat(np.arange(out.n, dtype=np.int32), pc.list_value_length(places).to_numpy())
+            out.place = pc.list_flatten(places).to_numpy().astype(np.int32)
+            out.value = pc.list_flatten(values).to_numpy().astype(np.float32)
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.place], self.n)
 
@@ -165,7 +177,7 @@ def co_train(text: Rows, meta: Rows, target: np.ndarray, *, rounds: int = ROUNDS
     seen = [np.bincount(text.place, text.value * np.isin(text.row, base[target[base] == y]), text.dim) for y in (0, 1)]
     odds = np.abs(np.log((seen[1] + 1) / (seen[1].sum() + 2)) - np.log((seen[0] + 1) / (seen[0].sum() + 2)))
     odds[WORD_DIM:] = 1
-    text.value = text.value * odds[text.place]
+    text.value = (text.value * odds[text.place]).astype(np.float32)
     pool = np.flatnonzero(np.isnan(target))
     targets = [target.copy(), target.copy()]  # what each view has learnt from
     sides = [(text, 2e-5, 150), (meta, 1e-3, 120)]
@@ -212,9 +224,10 @@ def trained(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, tp array<int>, tv array<float>, mp array<int>, mv array<float>, " + ", ".join(f"y_{h} double" for h in HEADS)
     got = map_arrow(source, run, schema).toArrow().sort_by("k")
-    lists = {c: [np.asarray(x.values) for x in got.column(c)] for c in ("tp", "tv", "mp", "mv")}
-    text_rows, meta_rows = Rows(list(zip(lists["tp"], lists["tv"], strict=True)), TEXT_DIM), Rows(list(zip(lists["mp"], lists["mv"], strict=True)), META_DIM)
-    return {h: co_train(text_rows, meta_rows, np.array(got.column(f"y_{h}").to_pylist(), dtype=float), rounds=rounds) for h in HEADS}
+    text_rows, meta_rows = Rows.of(got.column("tp"), got.column("tv"), TEXT_DIM), Rows.of(got.column("mp"), got.column("mv"), META_DIM)
+    targets = {h: np.array(got.column(f"y_{h}").to_pylist(), dtype=float) for h in HEADS}
+    del got
+    return {h: co_train(text_rows, meta_rows, targets[h], rounds=rounds) for h in HEADS}
 
 
 def metadata(docs: DataFrame) -> list:
@@ -232,8 +245,13 @@ def scored(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_features(t) for t in batch.column(n).to_pylist()]
-            metas = [meta_features(*x) for x in zip(*(batch.column(n + 1 + i).to_pylist() for i in range(3)), strict=True)]
+            z = {h: np.zeros((2, batch.num_rows)) for h in HEADS}  # a text's features go as soon as it has its logits
+            metas = zip(*(batch.column(n + 1 + i).to_pylist() for i in range(3)), strict=True)
+            for i, (t, meta) in enumerate(zip(batch.column(n), metas, strict=True)):
+                views = text_features(t.as_py()), meta_features(*meta)
+                for h, model in sent.value.items():
+                    for k, (w, b) in enumerate(model.views or ()):
+                        z[h][k, i] = views[k][1] @ w[views[k][0]] + b
             columns = []
             keep = np.ones(batch.num_rows, bool)
             for h, good in HEADS.items():
@@ -241,8 +259,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
                 if model.views is None:
                     p = np.full(batch.num_rows, np.nan if model.share is None else model.share)
                 else:
-                    z = [np.array([float(v @ w[p]) + b for p, v in rows]) for rows, (w, b) in zip((texts, metas), model.views, strict=True)]
-                    p = model.probabilities(*z)
+                    p = model.probabilities(*z[h])
                 columns.append(pa.array(p, mask=np.isnan(p)))
                 keep &= ~((p < 0.5) if good else (p >= 0.5))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns, pa.array(keep)], [*names, *(f"p_{h}" for h in HEADS), "keep"])
