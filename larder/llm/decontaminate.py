@@ -132,8 +132,9 @@ def seeds_of(block: Items, counts: np.ndarray, n_docs: int, rare_share: float, r
     return (count <= max(RARE_DOCS, rare_share * n_docs)) | (rank < rarest)
 
 
-def found_in(block: Items, seeds: tuple[np.ndarray, np.ndarray], text: str) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of the best alignment of each item that has a seed in the text.
+def found_in(block: Items, seeds: tuple[np.ndarray, np.ndarray], text: str, least: float = 0.0) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, end word) of the best alignment, if its score is at least `least`, of each item that has
+    a seed in the text. A stretch of text with too few of the item's words for that score is not aligned.
 
     seeds: the occurrences (in items) that are seeds, ordered by n-gram, and where those of each n-gram begin.
     """
@@ -156,13 +157,23 @@ def found_in(block: Items, seeds: tuple[np.ndarray, np.ndarray], text: str) -> l
     lo = np.maximum(diagonal[at] - pad[at], 0)
     hi = np.minimum(diagonal[last] + size[last] + pad[last], len(numbers))
     best: dict[int, tuple[float, int, int]] = {}
-    for start in range(0, len(at), 64):
-        part = range(start, min(start + 64, len(at)))
+    present = np.zeros(len(block.vocabulary) + 1, bool)
+    hopeful = []
+    for k in range(len(at)):
+        stretch = numbers[lo[k] : hi[k]]  # -1, an unknown word, marks the last place, which no item's word has
+        present[stretch] = True
+        if present[block.items[item[at[k]]]].sum() >= least * size[at[k]]:
+            hopeful.append(k)
+        present[stretch] = False
+    for start in range(0, len(hopeful), 64):
+        part = hopeful[start : start + 64]
         owners = [int(item[at[k]]) for k in part]
         score, end = align([block.items[i] for i in owners], [numbers[lo[k] : hi[k]] for k in part])
         for k, i, s, e in zip(part, owners, score.tolist(), end.tolist(), strict=True):
             size_i = len(block.items[i])
             value = (s / (MATCH * size_i), int(max(lo[k], lo[k] + e - size_i)), int(lo[k] + e))
+            if value[0] < least:
+                continue
             if i not in best or (-value[0], value[1]) < (-best[i][0], best[i][1]):
                 best[i] = value
     return [(i, *v) for i, v in sorted(best.items())]
@@ -191,7 +202,7 @@ def contaminated(
         ids = [r.id for r in rows]
 
         def run(batch: pa.RecordBatch, block=block, seeds=seeds, ids=ids) -> pa.RecordBatch:
-            found = [(i, *f) for i, t in enumerate(batch.column(1).to_pylist()) for f in found_in(block.value, seeds.value, t) if f[1] >= min_score]
+            found = [(i, *f) for i, t in enumerate(batch.column(1).to_pylist()) for f in found_in(block.value, seeds.value, t, min_score)]
             at, item, *rest = zip(*found, strict=True) if found else [[]] * 5
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([ids[i] for i in item], target), *(pa.array(x, t) for x, t in zip(rest, (pa.float64(), pa.int64(), pa.int64()), strict=True))]
             return pa.RecordBatch.from_arrays(columns, [key, item_key, "score", "first_word", "end_word"])
