@@ -30,13 +30,13 @@ from larder.llm.common import map_arrow, text_or_empty
 WORD_DIM, SHAPE_DIM, EXTRA_DIM = 1 << 18, 512, 4
 TEXT_DIM = WORD_DIM + SHAPE_DIM + EXTRA_DIM
 META_DIM = 1 << 10
-N_LABELLED, N_POOL, ROUNDS = 4_000, 3_000, 3
+N_LABELLED, N_POOL, ROUNDS = 6_000, 3_000, 3
 CONFIDENT = 0.97
 CACHE_TOKENS = 300_000
 #: Columns of labels: probability of the value 1, and whether that value is the good one.
 HEADS = {"quality": True, "toxic": False}
 _KNOWN: dict[str, tuple[int, int, int]] = {}
-STEM = 5  # letters of a word's beginning that are a feature of their own
+STEM = 4  # letters of a word's beginning that are a feature of their own
 
 
 def shape(token: str) -> str:
