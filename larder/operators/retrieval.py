@@ -92,43 +92,61 @@ def retrieve(keys: DataFrame, products: DataFrame, *, k: int = TOP_K, max_produc
     return keys.select("key", "query", "emb").mapInPandas(run, "key string, pos int, product_id string")
 
 
-def score_pairs(keys: DataFrame, products: DataFrame, block: int = BLOCK, score: Callable[[str, str], float] = lexical_score) -> DataFrame:
-    """(key, prod_idx, id, length, lexical, dense) of all keys against the catalog, which is read in blocks of rows."""
-    spark = keys.sparkSession
-    out = None
+def product_blocks(products: DataFrame, block: int) -> Iterator[list]:
+    """The catalog in lists of at most `block` products; the driver holds one at a time."""
     rows: list = []
-
-    def scored(part: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast([(r.prod_idx, r.id, r.norm, r.length, np.asarray(r.emb, np.float32)) for r in part])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for key, query, emb in zip(batch.key, batch["query"], batch.emb, strict=True):
-                    e = np.asarray(emb, np.float32)
-                    yield pd.DataFrame([(key, i, d, n, score(query, t), float(v @ e)) for i, d, t, n, v in sent.value], columns=["key", "prod_idx", "id", "length", "lexical", "dense"])
-
-        return keys.select("key", "query", "emb").mapInPandas(run, "key string, prod_idx long, id string, length int, lexical double, dense double")
-
     for row in products.select("prod_idx", "id", "norm", F.length("text").alias("length"), "emb").toLocalIterator():
         rows.append(row)
         if len(rows) == block:
-            out = scored(rows) if out is None else out.union(scored(rows))
+            yield rows
             rows = []
-    if rows or out is None:
-        out = scored(rows) if out is None else out.union(scored(rows))
+    if rows:
+        yield rows
+
+
+def by_blocks(keys: DataFrame, products: DataFrame, columns: list[str], fn: Callable[..., list[tuple]], schema: str, block: int, score: Callable[[str, str], float]) -> DataFrame:
+    """Rows that `fn` makes of each key and each block of the catalog: fn(key row, block arrays, lexical, dense)."""
+    spark = keys.sparkSession
+    out = spark.createDataFrame([], schema)
+    for part in product_blocks(products, block):
+        sent = spark.sparkContext.broadcast(
+            {"prod_idx": np.array([r.prod_idx for r in part]), "id": [r.id for r in part], "norm": [r.norm for r in part], "length": np.array([r.length for r in part]), "emb": np.array([r.emb for r in part], np.float32)}
+        )
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            b = sent.value
+            for batch in batches:
+                rows = []
+                for key in batch.itertuples(index=False):
+                    lexical = np.array([score(key.query, n) for n in b["norm"]])
+                    rows += fn(key, b, lexical, b["emb"] @ np.asarray(key.emb, np.float32))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+        out = out.union(keys.select(*columns).mapInPandas(run, schema))
     return out
 
 
+PAIR_SCHEMA = "key string, prod_idx long, id string, length int, lexical double, dense double"
+
+
+def score_pairs(keys: DataFrame, products: DataFrame, block: int = BLOCK, score: Callable[[str, str], float] = lexical_score) -> DataFrame:
+    """(key, prod_idx, id, length, lexical, dense) of all pairs; for small catalogs and tests, since all pairs are made."""
+
+    def every(key, b: dict, lexical: np.ndarray, dense: np.ndarray) -> list[tuple]:
+        return [(key.key, int(i), d, int(n), float(x), float(y)) for i, d, n, x, y in zip(b["prod_idx"], b["id"], b["length"], lexical, dense, strict=True)]
+
+    return by_blocks(keys, products, ["key", "query", "emb"], every, PAIR_SCHEMA, block, score)
+
+
 def fuse(scores: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(key, pos, product_id) from scores of pairs, by windows over each key: the same result as `fused_top`."""
+    """(key, pos, product_id) from scores of pairs, by windows over each key: the same result as `fused_top`.
+
+    Ranks over the whole catalog may be given as lex_rank and dense_rank; else the pairs are the whole catalog.
+    """
     by = Window.partitionBy("key")
-    ranked = scores.withColumns(
-        {
-            "lex_rank": F.row_number().over(by.orderBy(F.desc("lexical"), "prod_idx")) - 1,
-            "cut_rank": F.row_number().over(by.orderBy(F.desc("lexical"), F.desc("prod_idx"))) - 1,
-            "dense_rank": F.row_number().over(by.orderBy(F.desc("dense"), "prod_idx")) - 1,
-        }
-    )
+    ranks = {"lex_rank": by.orderBy(F.desc("lexical"), "prod_idx"), "dense_rank": by.orderBy(F.desc("dense"), "prod_idx")}
+    ranked = scores.withColumns({n: F.row_number().over(w) - 1 for n, w in ranks.items() if n not in scores.columns})
+    ranked = ranked.withColumn("cut_rank", F.row_number().over(by.orderBy(F.desc("lexical"), F.desc("prod_idx"))) - 1)
     in_cut = F.col("cut_rank") < 3 * k
     ranked = ranked.withColumn("again", F.row_number().over(by.orderBy(F.desc(in_cut), F.desc("lexical"), "length", "cut_rank")) - 1)
     lex = F.when(in_cut, F.least("lex_rank", "again")).otherwise(F.col("lex_rank"))
@@ -137,6 +155,33 @@ def fuse(scores: DataFrame, k: int = TOP_K) -> DataFrame:
     return best.select("key", "pos", F.col("id").alias("product_id"))
 
 
-def retrieve_by_ranks(keys: DataFrame, products: DataFrame, *, k: int = TOP_K, block: int = BLOCK) -> DataFrame:
-    """As `retrieve` for a catalog of any size: pairs are scored block by block and ranked by windows over a key."""
-    return fuse(score_pairs(keys, products, block), k)
+def retrieve_by_ranks(keys: DataFrame, products: DataFrame, *, k: int = TOP_K, block: int = BLOCK, score: Callable[[str, str], float] = lexical_score) -> DataFrame:
+    """As `retrieve` for a catalog of any size, in two passes over its blocks.
+
+    At least k products have a fused score over 1 / (RRF_K + k), so one among the best has a rank of at most 2k + RRF_K - 1
+    in one of the two orders. The first pass finds these few for each key; the second counts, block by block, how many
+    products go before each of them. No other pairs are made.
+    """
+    n = max(3 * k, 2 * k + RRF_K)
+
+    def best(key, b: dict, lexical: np.ndarray, dense: np.ndarray) -> list[tuple]:
+        i = b["prod_idx"]
+        chosen = np.unique(np.concatenate([np.lexsort(o)[:n] for o in ((i, -lexical), (-i, -lexical), (i, -dense))]))
+        return [(key.key, int(i[c]), b["id"][c], int(b["length"][c]), float(lexical[c]), float(dense[c])) for c in chosen]
+
+    found = by_blocks(keys, products, ["key", "query", "emb"], best, PAIR_SCHEMA, block, score)
+    by = Window.partitionBy("key")
+    orders = {"a": (F.desc("lexical"), F.asc("prod_idx")), "b": (F.desc("lexical"), F.desc("prod_idx")), "c": (F.desc("dense"), F.asc("prod_idx"))}
+    found = found.withColumns({f"_{x}": F.row_number().over(by.orderBy(*o)) for x, o in orders.items()}).where(F.least(*(f"_{x}" for x in orders)) <= n).drop(*(f"_{x}" for x in orders))
+    asked = keys.join(found.groupBy("key").agg(F.collect_list(F.struct("prod_idx", "lexical", "dense")).alias("found")), "key")
+
+    def before(key, b: dict, lexical: np.ndarray, dense: np.ndarray) -> list[tuple]:
+        out = []
+        for f in key.found:
+            ranks = (int(((x > f[c]) | ((x == f[c]) & (b["prod_idx"] < f["prod_idx"]))).sum()) for c, x in (("lexical", lexical), ("dense", dense.astype(float))))
+            out.append((key.key, f["prod_idx"], *ranks))
+        return out
+
+    counts = by_blocks(asked, products, ["key", "query", "emb", "found"], before, "key string, prod_idx long, lex_rank long, dense_rank long", block, score)
+    ranks = counts.groupBy("key", "prod_idx").agg(F.sum("lex_rank").alias("lex_rank"), F.sum("dense_rank").alias("dense_rank"))
+    return fuse(found.join(ranks, ["key", "prod_idx"]), k)

@@ -204,10 +204,21 @@ def test_retrieval_variants_agree(spark):
     keys = retrieval.embed(spark.createDataFrame([(q, q) for q in ("zwiebeln", "milch", "zimt gemahlen", "e")], "key string, query string"), "query")
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     for k in (1, 2, 5, 20):
-        assert rows(retrieval.retrieve(keys, products, k=k)) == rows(retrieval.retrieve_by_ranks(keys, products, k=k, block=3))
+        small = rows(retrieval.retrieve(keys, products, k=k))
+        assert small == rows(retrieval.retrieve_by_ranks(keys, products, k=k, block=3)) == rows(retrieval.fuse(retrieval.score_pairs(keys, products, block=5), k))
     assert rows(retrieval.retrieve(keys, products, k=2, max_products=3)) == rows(retrieval.retrieve(keys, products, k=2))
 
 
+def test_retrieval_of_a_large_catalog(spark):
+    """More products than the first pass keeps."""
+    names = [f"{a}{b} {c}" for a in ("zwie", "mil", "zi") for b in ("bel", "ch", "mt", "x") for c in range(30)]
+    rows = spark.createDataFrame([(i, f"p{i}", n, "", "") for i, n in enumerate(names)], "prod_idx long, id string, name string, cat1 string, cat2 string")
+    products = retrieval.embed(catalog.prepared(rows), "text")
+    keys = retrieval.embed(spark.createDataFrame([(q, q) for q in ("zwiebel", "milch", "q")], "key string, query string"), "query")
+    got = [sorted(tuple(r) for r in x.collect()) for x in (retrieval.retrieve(keys, products, k=4), retrieval.retrieve_by_ranks(keys, products, k=4, block=100))]
+    assert got[0] == got[1] and len(got[0]) == 12
+
+
 def test_features(spark):
     row = spark.createDataFrame([("500g Mehl", "Mehl Type 0,5 kg", "Mehl & Co", [1.0, 0.0], [0.6, 0.8], 0.7)], "ingredient string, name string, category string, ing_emb array<float>, prod_emb array<float>, score double")
     f = scoring.features(row).first().features
