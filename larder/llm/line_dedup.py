@@ -63,16 +63,22 @@ def line_table(docs: DataFrame, text: str, key: str, min_words: int) -> DataFram
     return map_arrow(source, run, "doc long, line long, id long, onwards long, upto long")
 
 
-def shared(rows: DataFrame, *names: str) -> DataFrame:
-    """The rows whose (names) come at several places. Classes are pre-aggregated, so none is gathered in a task."""
+def shared(rows: DataFrame, names: list[str], old: list[DataFrame]) -> DataFrame:
+    """The rows whose (names) come at several places.
+
+    Classes are aggregated, combined before the shuffle, and written, so that rows and classes then meet over plain
+    shuffles, whose partitions Spark can split: a line that makes up a large share of all is no one task's.
+    """
     at = F.struct(*PLACE)
-    classes = rows.groupBy(*names).agg(F.min(at).alias("first"), F.max(at).alias("final")).where("first != final").drop("final")
-    return rows.join(classes, list(names))
+    classes = cut(rows.groupBy(*names).agg(F.min(at).alias("first"), F.max(at).alias("final")).where("first != final").select(*names))
+    old.append(classes)
+    return rows.join(classes, names)
 
 
 def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, first, stop): ranges of lines that lie in a run of at least `min_words` words that also starts earlier."""
-    ground = cut(shared(line_table(docs, text, key, min_words), "id").select(*PLACE, F.col("id").alias("rank"), "onwards", "upto"))
+    old: list[DataFrame] = []
+    ground = cut(shared(line_table(docs, text, key, min_words), ["id"], old).select(*PLACE, F.col("id").alias("rank"), "onwards", "upto"))
     forward = ground.where("onwards > 0").select("doc", F.col("line").alias("first"), F.col("onwards").alias("size"))
     backward = ground.where("upto > 0").select("doc", (F.col("line") - F.col("upto") + 1).alias("first"), F.col("upto").alias("size"))
     runs = cut(forward.union(backward).distinct())
@@ -82,7 +88,7 @@ def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_wor
         half = 1 << (len(levels) - 1)
         now = levels[-1].select(*PLACE, "rank")
         later = now.select("doc", (F.col("line") - half).alias("line"), F.col("rank").alias("rank2"))
-        levels.append(cut(shared(now.join(later, PLACE), "rank", "rank2").select(*PLACE, F.xxhash64("rank", "rank2").alias("rank"))))
+        levels.append(cut(shared(now.join(later, PLACE), ["rank", "rank2"], old).select(*PLACE, F.xxhash64("rank", "rank2").alias("rank"))))
     found = None
     for k, level in enumerate(levels):
         ranks = level.select("doc", F.col("line").alias("first"), "rank")
@@ -93,11 +99,13 @@ def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_wor
         else:
             here = here.withColumn("stop", F.col("first") + 1).withColumn("rank2", F.col("rank"))
         at = F.struct("doc", "first")
-        earliest = here.groupBy("rank", "rank2", "size").agg(F.min(at).alias("lead"))
+        here = here.select("doc", "first", "stop", "size", "rank", "rank2")
+        earliest = cut(here.groupBy("rank", "rank2", "size").agg(F.min(at).alias("lead")))
+        old.append(earliest)
         later = here.join(earliest, ["rank", "rank2", "size"]).where(at != F.col("lead")).select("doc", "first", "stop")
         found = later if found is None else found.union(later)
     out = cut(found.distinct())
-    for x in (*levels, runs):
+    for x in (*levels, runs, *old):
         drop_cut(x)
     return out
 
