@@ -1,4 +1,8 @@
-"""Connected components by alternating star operations (Kiveris et al. 2014), with lineage cut every round."""
+"""Connected components by alternating star operations (Kiveris et al. 2014), with lineage cut every round.
+
+The smallest neighbour of each node is aggregated and written before links are joined with it, so the join has a plain
+shuffle on both sides, whose partitions Spark can split: the links of a node that has a large share of all are no one task's.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +12,19 @@ from pyspark.sql import functions as F
 from larder.llm.common import cut, drop_cut
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours point to the smallest of the node and its neighbours."""
+def large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new links and what to drop. Each node's larger neighbours point to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    return cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), least
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours point to the smallest of them."""
+def small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new links and what to drop. Each node and its smaller neighbours point to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
     moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+    return cut(moved.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,8 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a != b").select("a", "b").distinct())
     seen = None
     while True:
-        after = cut(small_star(large_star(now)))
-        drop_cut(now)
+        wide, *old = large_star(now)
+        after, *more = small_star(wide)
+        for x in (now, wide, *old, *more):
+            drop_cut(x)
         now = after
         state = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")).first()
         if seen == state:

@@ -183,9 +183,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         edges = edges.union(ball_links(crowded))
     roots = components(edges)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = cut(named)
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
     of_fp = named.join(least, "root").select("fp", "component_id")
     out = cut(marked.join(of_fp, "fp").select(key, "fp", "component_id"))
-    for x in (marked, distinct, found, roots):
+    for x in (marked, distinct, found, roots, named, least):
         drop_cut(x)
     return out
