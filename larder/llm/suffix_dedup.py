@@ -375,7 +375,8 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     parsed = map_arrow(source, parse_batch, PARSED)
     resolved = cut(spread(parsed, "route").sortWithinPartitions("route", "kind", "whole", "doc", "first").mapInArrow(resolve, RESOLVED))
     met = resolved.where(F.col("kind") == MET)
-    crowds = met.groupBy("gram").count().where(F.col("count") > crowd).select("gram", F.lit(True).alias("crowded"))
+    # written, so that Spark knows how few they are, and can split the shuffle of what they are joined with
+    crowds = cut(met.groupBy("gram").count().where(F.col("count") > crowd).select("gram", F.lit(True).alias("crowded")))
     met = met.join(crowds, "gram", "left").select("doc", F.struct("gram", "first", "last", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("m"))
     texts = spread(map_arrow(source, packed, "doc long, packed binary"), "doc")
     pieces = map_arrow(texts.join(met.groupBy("doc").agg(F.collect_list("m").alias("met")), "doc").select("doc", "packed", "met"), cut_pieces, PIECES)
