@@ -148,6 +148,18 @@ def tile_cents(shown: Column) -> Column:
     return F.when(bare.rlike(pattern), (F.regexp_extract(bare, pattern, 1).try_cast("long") * 100 + F.regexp_extract(bare, pattern, 2).try_cast("long")))
 
 
+def euros(amount: Column) -> Column:
+    """Cents as euros with a comma."""
+    whole = F.abs(amount).cast("long")
+    sign = F.when(amount < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(whole / 100).cast("string"), F.lit(","), F.lpad((whole % 100).cast("string"), 2, "0"), F.lit(" €"))
+
+
+def percent_done(done: Column, total: Column) -> Column:
+    """Whole percent; zero of nothing."""
+    return F.when(total > 0, F.round(100 * done / total).cast("int")).otherwise(0)
+
+
 def fingerprint(text: Column) -> Column:
     """Twelve digits that change with the text."""
     return F.substring(F.sha1(text), 1, 12)

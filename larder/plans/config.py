@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 
 from larder.functions import vocabulary as V
 
@@ -15,6 +16,15 @@ class MatchConfig:
     dense_model: str = "hashed-trigrams"
     reuse: bool = True
 
+    def with_sidecars(self, texts: dict[str, str]) -> MatchConfig:
+        """With what files beside a model say: threshold.json ({"threshold": t}) and version.txt."""
+        out = self
+        if "threshold.json" in texts:
+            out = replace(out, threshold=float(json.loads(texts["threshold.json"])["threshold"]))
+        if "version.txt" in texts:
+            out = replace(out, model_hash=texts["version.txt"].strip())
+        return out
+
     def fingerprint(self, catalog_hash: str) -> str:
         """What stored candidates depend on."""
         return f"{self.top_k}/{catalog_hash}/{self.dense_model}/name-form/rrf"

@@ -71,6 +71,11 @@ def read_matched(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MATCHED_SCHEMA).option("multiLine", True).json(path)
 
 
+def write_matched(recipes: DataFrame, path: str) -> None:
+    """Recipes with their matches, one JSON object a line."""
+    recipes.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def read_products_csv(spark: SparkSession, path: str) -> DataFrame:
     """Products (id, name, cat1, cat2) of a CSV file with a header; missing categories are empty."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
