@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from larder.llm.common import map_arrow, slices, text_or_empty
 
 NONE = np.int64(1 << 40)
-#: Pieces kept with their ids by a worker; the least recent half goes when it is full. It bounds memory, not results.
-CACHE_PIECES = 400_000
+#: A worker keeps the ids of up to twice this many recent pieces. It bounds memory, not results.
+CACHE_PIECES = 120_000
 
 
 class Vocabulary:
@@ -134,7 +134,7 @@ class Encoder:
     """Encodes texts; keeps the ids of recent pieces as little-endian 32-bit bytes."""
 
     def __init__(self, vocab: Vocabulary, pattern: str):
-        self.vocab, self.pattern, self.known = vocab, regex.compile(pattern), {}
+        self.vocab, self.pattern, self.known, self.older = vocab, regex.compile(pattern), {}, {}
         self.decoded = [vocab.bytes_of.get(i, b"") for i in range(max(vocab.bytes_of) + 1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -143,9 +143,15 @@ class Encoder:
         wanted = set()
         for x in found:
             wanted.update(x)
-        if len(self.known) + len(wanted) > CACHE_PIECES:
-            self.known = dict(list(self.known.items())[len(self.known) // 2 :]) if len(wanted) < CACHE_PIECES // 2 else {}
-        new = [x for x in wanted if x not in self.known]
+        if len(self.known) + len(wanted) > CACHE_PIECES:  # what isn't wanted before the next turn goes
+            self.known, self.older = {}, self.known
+        new = []
+        for x in wanted:
+            if x not in self.known:
+                if (ids := self.older.get(x)) is not None:
+                    self.known[x] = ids
+                else:
+                    new.append(x)
         for x, ids in zip(new, encode_pieces([x.encode() for x in new], self.vocab), strict=True):
             self.known[x] = ids.astype("<u4").tobytes()
         get = self.known.__getitem__

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from larder.llm.common import cut, drop_cut, map_arrow, spread
+from larder.llm.common import cut, drop_cut, in_arrow, map_arrow, spread
 
 END = "</turn>\n"
 ESCAPES = re.compile(r"\\|(?<=<)/|(?<=#)#")
@@ -160,4 +160,4 @@ def digests(formatted: DataFrame, *, key: str = "conv_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     shape = f"`{key}` long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.select(F.when(F.col("tree") != -(1 << 63), F.col("tree")).alias(key), "formatted", "loss").mapInArrow(run, shape)
+    return in_arrow(formatted.select(F.when(F.col("tree") != -(1 << 63), F.col("tree")).alias(key), "formatted", "loss"), run, shape)

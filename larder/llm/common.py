@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+#: Rows go to Python in batches of about this many bytes, so that long texts don't pile up in either process.
+BATCH_BYTES = 8 << 20
 #: Texts are handled in slices of about this many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 2_000_000
 
@@ -19,6 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that isn't in use back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply `fn` to each Arrow batch; it keeps no state between batches."""
 
@@ -27,7 +50,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             if batch.num_rows:
                 yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def text_or_empty(name: str) -> Column:
@@ -79,4 +102,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-__all__ = ["SLICE_BYTES", "StorageLevel", "checkpoint_dir", "cut", "drop_cut", "map_arrow", "slices", "spread", "table", "text_or_empty"]
+__all__ = ["SLICE_BYTES", "StorageLevel", "checkpoint_dir", "cut", "drop_cut", "in_arrow", "map_arrow", "slices", "spread", "table", "text_or_empty"]

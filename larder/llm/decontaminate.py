@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-The test items are a stated query set, taken in blocks of at most BLOCK_ITEMS; all documents are read against each block,
-and nothing but the block's tables is broadcast. A first pass counts in how many documents each n-gram of the items occurs.
-Seeds are the n-grams in at most `rare_share` of the documents or RARE_DOCS of them, and each item's `rarest` rarest ones whatever their counts,
-so that an item which a large share of the documents has copied keeps seeds. A second pass aligns each item with the
-surroundings of its seeds; the score is the best local alignment's, in parts of that of a verbatim copy.
+The test items are a stated query set, taken in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters; all documents
+are read against each block, and nothing but the block's tables is broadcast. A first pass counts in how many documents each
+n-gram of the items occurs. Seeds are the n-grams in at most `rare_share` of the documents or RARE_DOCS of them, and each
+item's `rarest` rarest ones whatever their counts, so that an item which a large share of the documents has copied keeps
+seeds. A second pass aligns each item with the surroundings of its seeds; the score is the best local alignment's, in parts
+of that of a verbatim copy.
 
 Words are runs of letters, digits and underscores in lower case, so punctuation and white space don't matter.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import map_arrow, text_or_empty
+from larder.llm.common import in_arrow, map_arrow, text_or_empty
 
 GRAM = 3
 RARE_SHARE = 0.01
@@ -31,6 +32,7 @@ RARE_DOCS = 200
 RAREST = 16
 MIN_SCORE = 0.5
 BLOCK_ITEMS = 5_000
+BLOCK_CHARS = 10_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 
@@ -119,7 +121,7 @@ def document_counts(docs: DataFrame, block, text: str) -> DataFrame:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["gram", "n"])
 
-    return docs.select(text_or_empty(text).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select(text_or_empty(text).alias("text")), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def seeds_of(block: Items, counts: np.ndarray, n_docs: int, rare_share: float, rarest: int) -> np.ndarray:
@@ -213,13 +215,16 @@ def contaminated(
 
 
 def in_blocks(items: DataFrame, size: int) -> Iterator[list]:
-    """The rows in lists of at most `size`, so that never more than one list is on the driver."""
+    """The rows in lists of at most `size` rows and BLOCK_CHARS characters (a longer item stands alone), so that the
+    driver never holds, and no broadcast has, more than one list."""
     rows: list = []
+    chars = 0
     for row in items.toLocalIterator():
-        rows.append(row)
-        if len(rows) == size:
+        if rows and (len(rows) == size or chars + len(row.text) > BLOCK_CHARS):
             yield rows
-            rows = []
+            rows, chars = [], 0
+        rows.append(row)
+        chars += len(row.text)
     if rows:
         yield rows
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, drop_cut, map_arrow, text_or_empty
+from larder.llm.common import cut, drop_cut, in_arrow, map_arrow, text_or_empty
 
 MIN_WORDS = 4
 NULL_ID = -(1 << 63)
@@ -77,8 +77,9 @@ def shared(rows: DataFrame, names: list[str], old: list[DataFrame]) -> DataFrame
 
 def repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, first, stop): ranges of lines that lie in a run of at least `min_words` words that also starts earlier."""
-    old: list[DataFrame] = []
-    ground = cut(shared(line_table(docs, text, key, min_words), ["id"], old).select(*PLACE, F.col("id").alias("rank"), "onwards", "upto"))
+    lines = cut(line_table(docs, text, key, min_words))  # used twice: for the classes and for what is joined with them
+    old = [lines]
+    ground = cut(shared(lines, ["id"], old).select(*PLACE, F.col("id").alias("rank"), "onwards", "upto"))
     forward = ground.where("onwards > 0").select("doc", F.col("line").alias("first"), F.col("onwards").alias("size"))
     backward = ground.where("upto > 0").select("doc", (F.col("line") - F.col("upto") + 1).alias("first"), F.col("upto").alias("size"))
     runs = cut(forward.union(backward).distinct())
@@ -139,5 +140,5 @@ def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", mi
 
     types = [f.dataType.simpleString() for f in docs.schema.fields]
     schema = ", ".join(f"c{i} {t}" for i, t in enumerate(types)) + ", n long, r long"
-    out = rows.mapInArrow(run, schema)
+    out = in_arrow(rows, run, schema)
     return out.toDF(*docs.columns, "n_lines", "n_lines_removed")

@@ -25,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import map_arrow, text_or_empty
+from larder.llm.common import in_arrow, map_arrow, text_or_empty
 
 WORD_DIM, SHAPE_DIM, EXTRA_DIM = 1 << 18, 512, 4
 TEXT_DIM = WORD_DIM + SHAPE_DIM + EXTRA_DIM
 META_DIM = 1 << 10
 N_LABELLED, N_POOL, ROUNDS = 6_000, 3_000, 3
 CONFIDENT = 0.97
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 100_000
 #: Columns of labels: probability of the value 1, and whether that value is the good one.
 HEADS = {"quality": True, "toxic": False}
 _KNOWN: dict[str, tuple[int, int, int]] = {}
@@ -241,14 +241,15 @@ def scored(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     sent = docs.sparkSession.sparkContext.broadcast(models)
     n = len(docs.columns)
     names = [f"c{i}" for i in range(n)]
-    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), text_or_empty(text).alias("t"), *metadata(docs))
+    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), *metadata(docs))
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = {h: np.zeros((2, batch.num_rows)) for h in HEADS}  # a text's features go as soon as it has its logits
-            metas = zip(*(batch.column(n + 1 + i).to_pylist() for i in range(3)), strict=True)
-            for i, (t, meta) in enumerate(zip(batch.column(n), metas, strict=True)):
-                views = text_features(t.as_py()), meta_features(*meta)
+            metas = zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True)
+            for i, (t, meta) in enumerate(zip(batch.column(place), metas, strict=True)):
+                views = text_features(t.as_py() or ""), meta_features(*meta)
                 for h, model in sent.value.items():
                     for k, (w, b) in enumerate(model.views or ()):
                         z[h][k, i] = views[k][1] @ w[views[k][0]] + b
@@ -265,5 +266,5 @@ def scored(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns, pa.array(keep)], [*names, *(f"p_{h}" for h in HEADS), "keep"])
 
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    out = rows.mapInArrow(run, f"{kinds}, " + ", ".join(f"p_{h} double" for h in HEADS) + ", keep boolean")
+    out = in_arrow(rows, run, f"{kinds}, " + ", ".join(f"p_{h} double" for h in HEADS) + ", keep boolean")
     return out.toDF(*docs.columns, *(f"p_{h}" for h in HEADS), "keep")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, drop_cut, map_arrow, spread, text_or_empty
+from larder.llm.common import cut, drop_cut, in_arrow, map_arrow, spread, text_or_empty
 from larder.llm.graph import components
 
 MAX_DISTANCE = 4
@@ -156,7 +156,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         if held.shape[1]:
             yield from out(*matches(held[0], held[1], bucket))
 
-    met = spread(table_entries(fps), "place").sortWithinPartitions("place").mapInArrow(run, "a long, b long")
+    met = in_arrow(spread(table_entries(fps), "place").sortWithinPartitions("place"), run, "a long, b long")
     return met.distinct()
 
 

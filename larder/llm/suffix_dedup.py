@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, drop_cut, map_arrow, slices, spread, text_or_empty
+from larder.llm.common import cut, in_arrow, map_arrow, slices, spread, text_or_empty
 
 LENGTH = 100
 GRAM = 40
@@ -373,14 +373,14 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "packed"])
 
     parsed = map_arrow(source, parse_batch, PARSED)
-    resolved = cut(spread(parsed, "route").sortWithinPartitions("route", "kind", "whole", "doc", "first").mapInArrow(resolve, RESOLVED))
+    resolved = cut(in_arrow(spread(parsed, "route").sortWithinPartitions("route", "kind", "whole", "doc", "first"), resolve, RESOLVED))
     met = resolved.where(F.col("kind") == MET)
     # written, so that Spark knows how few they are, and can split the shuffle of what they are joined with
     crowds = cut(met.groupBy("gram").count().where(F.col("count") > crowd).select("gram", F.lit(True).alias("crowded")))
     met = met.join(crowds, "gram", "left").select("doc", F.struct("gram", "first", "last", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("m"))
     texts = spread(map_arrow(source, packed, "doc long, packed binary"), "doc")
     pieces = map_arrow(texts.join(met.groupBy("doc").agg(F.collect_list("m").alias("met")), "doc").select("doc", "packed", "met"), cut_pieces, PIECES)
-    compared = spread(pieces, "route").sortWithinPartitions("route", "doc", "first").mapInArrow(compare, "doc long, first long, last long")
+    compared = in_arrow(spread(pieces, "route").sortWithinPartitions("route", "doc", "first"), compare, "doc long, first long, last long")
     ranges = resolved.where(F.col("kind") == RANGE).select("doc", "first", "last").union(compared)
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     made = map_arrow(texts.join(ranges, "doc", "left").select("doc", "packed", "ranges"), union_ranges, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
