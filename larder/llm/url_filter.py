@@ -19,6 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import cut
+
 BLOCK_WORDS = 4  # of 64 bits
 BITS_PER_KEY = 16
 BROADCAST_BLOCKS = 1 << 16
@@ -91,5 +93,6 @@ def judge(pages: DataFrame, rules: DataFrame, *, listed: DataFrame | None = None
     asked = addresses.select("host", "path", F.explode(F.array(*asked)).alias("a")).select("host", "path", "a.key", "a.prefix").where("key IS NOT NULL")
     hits = passed(asked, blocks, n_blocks).join(table, ["key", "prefix"])
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "prefix", "verdict"), F.struct("prefix", F.length("key"), "key")).alias("b"))
-    best = best.select("host", "path", F.when(F.col("b.prefix") == 1, F.col("b.key")).alias("rule"), F.col("b.verdict").alias("verdict"))
-    return rows.join(best, ["host", "path"], "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # written, then joined over plain shuffles, which Spark can split: the pages of one address are no one task's
+    best = cut(best.select("host", "path", F.when(F.col("b.prefix") == 1, F.col("b.key")).alias("rule"), F.col("b.verdict").alias("verdict")))
+    return rows.join(best.hint("merge"), ["host", "path"], "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
