@@ -59,8 +59,8 @@ class Vocabulary:
         return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == keys), self.pair_ranks[at], NONE)
 
 
-def encode_equal(pieces: list[bytes], width: int, vocab: Vocabulary) -> list[np.ndarray]:
-    """Token ids of pieces of up to `width` bytes; width is a power of two."""
+def encode_equal(pieces: list[bytes], width: int, vocab: Vocabulary) -> list[bytes]:
+    """Token ids, as little-endian 32-bit bytes, of pieces of up to `width` bytes; width is a power of two."""
     n = len(pieces)
     raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(n, width)
     size = np.fromiter(map(len, pieces), np.int64, n)
@@ -98,8 +98,9 @@ def encode_equal(pieces: list[bytes], width: int, vocab: Vocabulary) -> list[np.
         update(tree, rows[has], width + p[has], vocab.pair_rank(left, token[rows, i])[has])
         rows = rows[tree[rows, 1] < NONE]
     kept = token >= 0
-    ids, ends = token[kept], np.cumsum(kept.sum(axis=1))
-    return np.split(ids, ends[:-1])
+    data = token[kept].astype("<u4").tobytes()
+    ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def update(tree: np.ndarray, rows: np.ndarray, node: np.ndarray, value: np.ndarray) -> None:
@@ -112,13 +113,13 @@ def update(tree: np.ndarray, rows: np.ndarray, node: np.ndarray, value: np.ndarr
         tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
 
-def encode_pieces(pieces: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
-    """Token ids of each piece. A piece that is a token is taken whole."""
-    out: list[np.ndarray | None] = [None] * len(pieces)
+def encode_pieces(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
+    """Token ids of each piece, as little-endian 32-bit bytes. A piece that is a token is taken whole."""
+    out: list[bytes] = [b""] * len(pieces)
     by_width: dict[int, list[int]] = {}
     for i, p in enumerate(pieces):
         if (r := vocab.ranks.get(p)) is not None:
-            out[i] = np.array([r], np.int64)
+            out[i] = r.to_bytes(4, "little")
         else:
             by_width.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
     for width, at in by_width.items():
@@ -153,7 +154,7 @@ class Encoder:
                 else:
                     new.append(x)
         for x, ids in zip(new, encode_pieces([x.encode() for x in new], self.vocab), strict=True):
-            self.known[x] = ids.astype("<u4").tobytes()
+            self.known[x] = ids
         get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in found]
 
