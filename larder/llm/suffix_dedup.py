@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, in_arrow, map_arrow, slices, spread, text_or_empty
+from larder.llm.common import cut, drop_cut, in_arrow, map_arrow, slices, spread, text_or_empty
 
 LENGTH = 100
 GRAM = 40
@@ -385,4 +385,10 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     made = map_arrow(texts.join(ranges, "doc", "left").select("doc", "packed", "ranges"), union_ranges, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
-    return made.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias(key), *names)
+    out = made.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias(key), *names)
+    if with_kept:  # read when the result is; they stay in the checkpoint folder
+        return out
+    out = cut(out)
+    for x in (resolved, crowds):
+        drop_cut(x)
+    return out
