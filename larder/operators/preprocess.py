@@ -86,17 +86,17 @@ def preprocess(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = items.select("recipe_idx", F.struct("ing_idx", "part").alias("pos"), "item", dedup_key(F.col("item")).alias("key"))
     known = classified(items)
     sums = known.groupBy("recipe_idx", "key", "kind", "unit").agg(
-        F.sum("amount").alias("total"), F.count("*").alias("n"), F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"), F.min_by("shown", "pos").alias("shown")
-    )
+        F.sum("amount").alias("total"), F.count("*").alias("n"), F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"), F.min_by("shown", "pos").alias("shown"),
+        F.collect_list(F.struct("pos", "item")).alias("items"), F.min(F.when(F.col("has_vague"), F.struct("pos", "item"))).alias("vague_item"),
+    )
     sums = sums.withColumn("number", shown_number("total")).withColumn("line", rendered())
-    signatures = sums.groupBy("recipe_idx", "key").agg(
+    both = sums.groupBy("recipe_idx", "key").agg(
         F.sort_array(F.collect_list(F.when(F.col("kind").isin("dim", "plain"), F.struct("pos", "line", "n")))).alias("exact"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "vague", F.struct("pos", "line", "n")))).alias("vague"),
-    )
-    members = known.groupBy("recipe_idx", "key").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("members"), F.min_by(F.when(F.col("has_vague"), F.col("item")), F.when(F.col("has_vague"), F.col("pos"))).alias("first_vague"), F.min("pos").alias("pos")
-    )
-    both = members.join(signatures, ["recipe_idx", "key"])
+        F.sort_array(F.flatten(F.collect_list("items"))).alias("members"),
+        F.min("vague_item").alias("vague_item"),
+        F.min("pos").alias("pos"),
+    ).withColumn("first_vague", F.col("vague_item.item"))
     first = F.col("members")[0]["item"]
     pick = lambda c: F.transform(c, lambda s: s["line"])
     several = F.size("members") > 1
