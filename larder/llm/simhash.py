@@ -34,17 +34,24 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """64 bits, each set if it is set in over half of the hashes of the text's shingles; zero without words."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """64-bit hashes of the text's shingles in order; one of all words if they are fewer, none without words."""
     found = WORD.findall(text.encode().translate(LOWER))
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = (np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + np.arange(len(found))).tolist()
     starts = [0, *(e + 1 for e in ends[:-1])]
     last = ends[min(words, len(ends)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, last, strict=False)], np.uint64)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, last, strict=False)], np.uint64)
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    """64 bits, each set if it is set in over half of the hashes of the text's shingles; zero without words."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         part = hashes[lo : lo + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
