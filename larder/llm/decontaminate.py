@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
 The test items are a stated query set, taken in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters; all documents
-are read against each block, and nothing but the block's tables is broadcast. A first pass counts in how many documents each
-n-gram of the items occurs. Seeds are the n-grams in at most `rare_share` of the documents or RARE_DOCS of them, and each
-item's `rarest` rarest ones whatever their counts, so that an item which a large share of the documents has copied keeps
-seeds. A second pass aligns each item with the surroundings of its seeds; the score is the best local alignment's, in parts
-of that of a verbatim copy.
+are read against each block, and nothing but the block's tables is broadcast. Every n-gram of an item is a seed, however many
+documents hold it, so that a truncated or edited copy of a frequent item is found by what it has left. Each item is aligned
+with the surroundings of its seeds, unless too few of its words are there for the score; the score is the best local
+alignment's, in parts of that of a verbatim copy.
 
 Words are runs of letters, digits and underscores in lower case, so punctuation and white space don't matter.
 
@@ -27,9 +26,6 @@ from pyspark.sql import functions as F
 from larder.llm.common import in_arrow, map_arrow, text_or_empty
 
 GRAM = 3
-RARE_SHARE = 0.01
-RARE_DOCS = 200
-RAREST = 16
 MIN_SCORE = 0.5
 BLOCK_ITEMS = 5_000
 BLOCK_CHARS = 10_000_000
@@ -110,35 +106,17 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end
 
 
-def document_counts(docs: DataFrame, block, text: str) -> DataFrame:
-    """(gram, n): in how many documents each n-gram of the block occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(block.value.grams), np.int64)
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts[np.unique(block.value.hits(block.value.numbers(t))[1])] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["gram", "n"])
-
-    return in_arrow(docs.select(text_or_empty(text).alias("text")), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def seeds_of(block: Items, counts: np.ndarray, n_docs: int, rare_share: float, rarest: int) -> np.ndarray:
-    """Whether each occurrence of an n-gram in an item is a seed."""
-    count = counts[block.gram_of]
-    order = np.lexsort((block.offset_of, count, block.item_of))
-    first = np.searchsorted(block.item_of[order], block.item_of[order], "left")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - first
-    return (count <= max(RARE_DOCS, rare_share * n_docs)) | (rank < rarest)
+def seeds_of(block: Items) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrences of n-grams in items, ordered by n-gram, and where those of each n-gram begin."""
+    order = np.argsort(block.gram_of, kind="stable")
+    return order, np.searchsorted(block.gram_of[order], np.arange(len(block.grams) + 1))
 
 
 def found_in(block: Items, seeds: tuple[np.ndarray, np.ndarray], text: str, least: float = 0.0) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end word) of the best alignment, if its score is at least `least`, of each item that has
     a seed in the text. A stretch of text with too few of the item's words for that score is not aligned.
 
-    seeds: the occurrences (in items) that are seeds, ordered by n-gram, and where those of each n-gram begin.
+    seeds: what `seeds_of` gives.
     """
     numbers = block.numbers(text)
     place, gram = block.hits(numbers)
@@ -183,24 +161,17 @@ def found_in(block: Items, seeds: tuple[np.ndarray, np.ndarray], text: str, leas
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id",
-    gram: int = GRAM, rare_share: float = RARE_SHARE, rarest: int = RAREST, min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS,
+    gram: int = GRAM, min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """(key, item_key, score, first_word, end_word): every item that aligns with a document by at least `min_score`."""
     spark = docs.sparkSession
-    n_docs = docs.count()
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, score double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
     for rows in in_blocks(benchmark.select(F.col(item_key).alias("id"), text_or_empty(item_text).alias("text")), block_items):
         items = Items([r.text for r in rows], gram)
         block = spark.sparkContext.broadcast(items)
-        counts = np.zeros(len(items.grams), np.int64)
-        for r in document_counts(docs, block, text).collect():  # one number for each n-gram of the block
-            counts[r.gram] = r.n
-        chosen = np.flatnonzero(seeds_of(items, counts, n_docs, rare_share, rarest))
-        chosen = chosen[np.argsort(items.gram_of[chosen], kind="stable")]
-        bounds = np.searchsorted(items.gram_of[chosen], np.arange(len(items.grams) + 1))
-        seeds = spark.sparkContext.broadcast((chosen, bounds))
+        seeds = spark.sparkContext.broadcast(seeds_of(items))
         ids = [r.id for r in rows]
 
         def run(batch: pa.RecordBatch, block=block, seeds=seeds, ids=ids) -> pa.RecordBatch:

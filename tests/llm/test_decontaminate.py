@@ -66,6 +66,16 @@ def test_an_item_that_most_documents_hold_keeps_seeds(spark):
     assert dc.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_truncated_copies_of_a_frequent_item(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, f"a{i} {' '.join(words)} b{i}") for i in range(300)] + [(1000 + i, f"c{i} {' '.join(words[18:])} d{i}") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in dc.contaminated(d, b).collect()}
+    assert got == {k: 0.55 if k >= 1000 else 1.0 for k, _ in rows}
+    assert dc.clean(d, b).count() == 0
+
+
 def test_align_pairs_of_unequal_sizes():
     rng = np.random.default_rng(1)
     a = [rng.integers(0, 5, n) for n in (1, 7, 30)]
