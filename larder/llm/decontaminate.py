@@ -200,7 +200,8 @@ def in_blocks(items: DataFrame, size: int) -> Iterator[list]:
         yield rows
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no test item. Rows whose key is null stay only if no row with a null key holds one."""
-    bad = contaminated(docs, benchmark, key=key, **options).select(F.col(key).alias("bad_key")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["bad_key"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents that hold no test item. Each row is judged by its own text, whatever rows share its key."""
+    rows = docs.withColumn("text_digest", F.md5(text_or_empty(text)))
+    bad = contaminated(rows, benchmark, text=text, key="text_digest", **options).select(F.col("text_digest").alias("bad_digest")).distinct()
+    return rows.join(bad, F.col("text_digest") == F.col("bad_digest"), "left_anti").select(*docs.columns)

@@ -11,8 +11,8 @@ shortest runs with enough words from each line onwards and up to each line have
 those inside it), so only these are looked up: levels end at the longest of them.
 
 Defined results: a null text is empty and has one empty line; documents are ordered by doc_id, null first; rows that repeat
-a doc_id with the same text are one document, and each row gets its result; texts that share a doc_id but differ share
-their runs, and only lines inside the text count. All columns are kept; names may clash with those used here.
+a doc_id with the same text are one document, and each row gets its result; texts that share a doc_id, or have none, but
+differ are documents of their own, ordered by a hash of the text. All columns are kept; names may clash with those used here.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import cut, drop_cut, in_arrow, map_arrow, text_or_empty
@@ -43,24 +43,31 @@ def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return onwards, upto
 
 
+def document(text: str, key: str) -> Column:
+    """What tells documents apart and orders them: the key, null first, and a hash of the text."""
+    return F.struct(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text_or_empty(text)).alias("hash"))
+
+
 def line_table(docs: DataFrame, text: str, key: str, min_words: int) -> DataFrame:
-    """(doc, line, id, onwards, upto): every line of every text, its 64-bit id and the lengths of its runs."""
+    """(doc, line, id, onwards, upto): every line of every text, its 64-bit id and the lengths of its runs; doc as `document` has it."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, line, ids, after, before = [], [], [], [], []
-        for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        size, line, ids, after, before = [], [], [], [], []
+        for t in batch.column(2).to_pylist():
             lines = t.split("\n")
             a, b = windows(np.fromiter((len(x.split()) for x in lines), np.int64, len(lines)), min_words)
-            doc.append(np.full(len(lines), key))
+            size.append(len(lines))
             line.append(np.arange(len(lines)))
             ids.append(np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64).view(np.int64))
             after.append(a)
             before.append(b)
-        arrays = [pa.array(np.concatenate(x)) for x in (doc, line, ids, after, before)]
-        return pa.RecordBatch.from_arrays(arrays, ["doc", "line", "id", "onwards", "upto"])
+        doc = [np.repeat(batch.column(i).to_numpy(), size) for i in (0, 1)]
+        arrays = [pa.array(x) for x in (*doc, *(np.concatenate(x) for x in (line, ids, after, before)))]
+        return pa.RecordBatch.from_arrays(arrays, ["key", "hash", "line", "id", "onwards", "upto"])
 
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), text_or_empty(text).alias("text"))
-    return map_arrow(source, run, "doc long, line long, id long, onwards long, upto long")
+    source = docs.select(document(text, key).alias("doc"), text_or_empty(text).alias("text")).select("doc.key", "doc.hash", "text")
+    rows = map_arrow(source, run, "key long, hash long, line long, id long, onwards long, upto long")
+    return rows.select(F.struct("key", "hash").alias("doc"), "line", "id", "onwards", "upto")
 
 
 def shared(rows: DataFrame, names: list[str], old: list[DataFrame]) -> DataFrame:
@@ -120,7 +127,7 @@ def deduplicated(docs: DataFrame, *, text: str = "text", key: str = "doc_id", mi
     gone = repeats(docs, text=text, key=key, min_words=min_words).groupBy("doc").agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
     whole = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     at = f"c{docs.columns.index(text)}"
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("doc"), whole.alias("row"))
+    rows = docs.select(document(text, key).alias("doc"), whole.alias("row"))
     rows = rows.join(gone, "doc", "left").select("row.*", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

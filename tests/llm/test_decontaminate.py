@@ -83,3 +83,11 @@ def test_align_pairs_of_unequal_sizes():
     got = dc.align(a, b)[0].tolist()
     say = lambda x: " ".join(f"w{v}" for v in x)
     assert got == [round(plain_score(say(x), say(y)) * 2 * len(x)) for x, y in zip(a, b)]
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, f"a {item}"), (None, "clean one"), (None, None), (7, item), (7, "clean two"), (7, "clean three")]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = dc.clean(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(str(r) for r in rows if item not in (r[1] or ""))

@@ -42,6 +42,13 @@ def test_equals_brute_force(spark, seed, least):
         assert (r.rank, r["doc"]) == (1, 2)
 
 
+def test_texts_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(1, "a b c d"), (5, "a b c d\nq r s t"), (5, "e f g h\nu v w x"), (None, "i j k l\nm n o p"), (None, "y z y z"), (None, "m n o p\n1 2 3 4")]
+    got = sorted((r.text, r.n_lines_removed) for r in ld.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert ("e f g h\nu v w x", 0) in got and ("q r s t", 1) in got and ("y z y z", 0) in got
+    assert sum(n for _, n in got) == 2 and sum("m n o p" in t for t, _ in got) == 1
+
+
 def test_windows():
     a, b = ld.windows(np.array([0, 3, 0, 1, 5]), 4)
     assert a.tolist() == [4, 3, 3, 2, 1]
