@@ -1,20 +1,30 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 The test items are a stated query set, taken in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters; all documents
-are read against each block, and nothing but the block's tables is broadcast. Every n-gram of an item is a seed, however many
-documents hold it, so that a truncated or edited copy of a frequent item is found by what it has left. Each item is aligned
-with the surroundings of its seeds, unless too few of its words are there for the score; the score is the best local
-alignment's, in parts of that of a verbatim copy.
+are read against each block, and nothing but the block's tables is broadcast. The score is the best local alignment's, in
+parts of that of a verbatim copy.
+
+Seeds are word pairs, adjacent or with one word between, in item and text. They miss nothing: an alignment with the score s
+of an item with n words has m matches and E errors (inserted, left out or changed words), with 2 m - E >= 2 s n and m <= n. Of
+its m - 1 steps from match to match, those with two errors or more number at most E / 2, so at least s n - 1 steps have one error
+or none, and such a step is a seed of its first item word. Therefore each alignment
+- has seeds of at least s n - 1 item words, and of at least three (or all) among the item's words that are left without the s n - 1 - 3
+  whose pairs are the most frequent in the block: only these rare seeds are looked up in the texts;
+- spans at most n + 2 (1 - s) n words of the text.
+Stretches of text with enough rare seeds within that span go on to the count of all seeds and of words, and what can still
+reach the score is aligned as a whole.
 
 Words are runs of letters, digits and underscores in lower case, so punctuation and white space don't matter.
 
-Defined results: null and empty texts hold nothing; items with fewer words than a seed, null ones too, are never found;
-repeated rows (documents or items) give repeated rows; a null doc_id or item_id is kept. Extra columns are ignored by
-`contaminated` and kept by `clean`.
+Defined results: null and empty texts hold nothing; items with fewer than three words, null ones too, are never found; repeated
+rows (documents or items) give repeated rows; a null doc_id or item_id is kept. A very long text is searched as a whole, in
+memory in proportion to it; its alignments run over overlapping windows, each longer than any alignment that counts. Extra
+columns are ignored by `contaminated` and kept by `clean`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,10 +35,14 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import in_arrow, map_arrow, text_or_empty
 
-GRAM = 3
+LEAST_WORDS = 3
+STEPS = (1, 2)
+NEEDED = 3
 MIN_SCORE = 0.5
 BLOCK_ITEMS = 5_000
 BLOCK_CHARS = 10_000_000
+#: Cells of an alignment's row over which pairs are aligned together.
+CELLS = 1 << 18
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"\w+")
 
@@ -37,48 +51,95 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def steps_needed(size: int, score: float) -> int:
+    """Item words with a seed that an alignment of this score has at least."""
+    return max(1, math.ceil(score * size - 1e-9) - 1)
+
+
 class Items:
-    """Word numbers and n-grams of a block of test items."""
+    """Word numbers and rare seeds of a block of test items."""
 
-    def __init__(self, texts: list[str], gram: int):
+    def __init__(self, texts: list[str], score: float):
         vocabulary: dict[str, int] = {}
-        self.gram = gram
+        self.score = score
         self.items = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int64) for t in texts]
         self.vocabulary = vocabulary
-        codes = [self.codes(x) for x in self.items]
-        self.grams = np.unique(np.concatenate([*codes, np.zeros(0, np.int64)]))
-        at = [np.searchsorted(self.grams, c) for c in codes]
-        self.item_of = np.repeat(np.arange(len(at)), [len(a) for a in at])
-        self.offset_of = np.concatenate([*(np.arange(len(a)) for a in at), np.zeros(0, np.int64)]).astype(np.int64)
-        self.gram_of = np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
-
-    def codes(self, numbers: np.ndarray) -> np.ndarray:
-        """A number for each n-gram (exact below 2^63, else by wrapped products, which the alignment puts right); -1 for
-        one with a word that no item has."""
-        n = len(numbers) - self.gram + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(self.gram):
-            part = numbers[k : k + n]
-            code = code * np.int64(len(self.vocabulary) + 1) + part + 1
-            known &= part >= 0
-        return np.where(known, np.abs(code), -1)
+        self.size = np.array([len(x) for x in self.items], np.int64)
+        self.span = self.size + np.ceil(2 * (1 - score) * self.size).astype(np.int64)
+        pairs = [self.pairs(x) if len(x) >= LEAST_WORDS else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for x in self.items]
+        codes, counts = np.unique(np.concatenate([*(c for _, c in pairs), np.zeros(0, np.int64)]), return_counts=True)
+        owner, code = [], []
+        for i, (place, c) in enumerate(pairs):
+            if not len(c):
+                continue
+            often = np.zeros(len(self.items[i]), np.int64)  # of a word: how frequent its pairs are
+            np.maximum.at(often, place, counts[np.searchsorted(codes, c)])
+            starts = np.arange(len(often) - 1)  # the last word begins no pair
+            left_out = max(0, steps_needed(len(often), score) - NEEDED)
+            rare = np.zeros(len(often), bool)
+            rare[starts[np.argsort(often[:-1], kind="stable")][: len(starts) - left_out]] = True
+            c = np.unique(c[rare[place]])
+            owner.append(np.full(len(c), i))
+            code.append(c)
+        empty = np.zeros(0, np.int64)
+        code, owner = np.concatenate([*code, empty]), np.concatenate([*owner, empty])
+        order = np.lexsort((owner, code))
+        self.codes, first = np.unique(code[order], return_index=True)
+        self.owner = owner[order]
+        self.bounds = np.append(first, len(code))
+        # rare seeds in a stretch, at least: no more than the alignment has, nor than the item's rare words
+        self.needed = np.array([min(NEEDED, steps_needed(n, score)) for n in self.size], np.int64)
+
+    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and codes of the pairs of known words that are one or two places apart."""
+        place, code = [], []
+        for d in STEPS:
+            a, b = numbers[:-d], numbers[d:]
+            at = np.flatnonzero((a >= 0) & (b >= 0))
+            place.append(at)
+            code.append(a[at] << 32 | b[at])
+        return np.concatenate(place), np.concatenate(code)
 
     def numbers(self, text: str) -> np.ndarray:
         found = words(text)
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in found), np.int64, len(found))
 
-    def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the text's n-grams that items have too, and their numbers."""
-        code = self.codes(numbers)
-        if not len(self.grams):
-            return code[:0], code[:0]
-        place = np.flatnonzero(code >= 0)
-        at = np.minimum(np.searchsorted(self.grams, code[place]), len(self.grams) - 1)
-        same = self.grams[at] == code[place]
-        return place[same], at[same]
+    def stretches(self, numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, end word): where the text has enough rare seeds for an alignment, with room for all of it."""
+        if not len(self.codes):
+            return
+        place, code = self.pairs(numbers)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        same = self.codes[at] == code
+        place, at = place[same], at[same]
+        count = self.bounds[at + 1] - self.bounds[at]
+        total = int(count.sum())
+        if not total:
+            return
+        item = self.owner[np.repeat(self.bounds[at], count) + np.arange(total) - np.repeat(np.cumsum(count) - count, count)]
+        place = np.repeat(place, count)
+        # a seed's first text word, once: pairs of the same word at both distances are one step
+        key = np.unique(item * (len(numbers) + 1) + place)
+        item, place = key // (len(numbers) + 1), key % (len(numbers) + 1)
+        need, span = self.needed[item], self.span[item]
+        far = np.arange(len(item)) + need - 1
+        inside = far < len(item)
+        far = np.minimum(far, len(item) - 1)
+        good = np.flatnonzero(inside & (item[far] == item) & (place[far] - place < span))
+        if not len(good):
+            return
+        new = np.ones(len(good), bool)
+        new[1:] = (item[good[1:]] != item[good[:-1]]) | (place[good[1:]] - place[good[:-1]] > span[good[1:]])
+        begin = np.flatnonzero(new)
+        last = good[np.append(begin[1:] - 1, len(good) - 1)]
+        begin = good[begin]
+        lo = np.maximum(place[begin] - span[begin], 0)
+        hi = np.minimum(place[last] + 2 * span[begin] + 1, len(numbers))
+        for i, a, b in zip(item[begin].tolist(), lo.tolist(), hi.tolist(), strict=True):
+            step = 3 * int(self.span[i])
+            for start in range(a, max(a + 1, b - int(self.span[i])), step):  # windows that overlap by a whole alignment
+                yield i, start, min(b, start + step + int(self.span[i]))
 
 
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,53 +167,37 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end
 
 
-def seeds_of(block: Items) -> tuple[np.ndarray, np.ndarray]:
-    """The occurrences of n-grams in items, ordered by n-gram, and where those of each n-gram begin."""
-    order = np.argsort(block.gram_of, kind="stable")
-    return order, np.searchsorted(block.gram_of[order], np.arange(len(block.grams) + 1))
-
-
-def found_in(block: Items, seeds: tuple[np.ndarray, np.ndarray], text: str, least: float = 0.0) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of the best alignment, if its score is at least `least`, of each item that has
-    a seed in the text. A stretch of text with too few of the item's words for that score is not aligned.
-
-    seeds: what `seeds_of` gives.
-    """
+def found_in(block: Items, text: str) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, end word) of the best alignment of each item that reaches the block's score in the text."""
     numbers = block.numbers(text)
-    place, gram = block.hits(numbers)
-    occurrence, bounds = seeds
-    count = bounds[gram + 1] - bounds[gram]
-    if not count.sum():
-        return []
-    which = occurrence[np.repeat(bounds[gram], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    item, diagonal = block.item_of[which], np.repeat(place, count) - block.offset_of[which]
-    order = np.lexsort((diagonal, item))
-    item, diagonal = item[order], diagonal[order]
-    size = np.array([len(x) for x in block.items])[item]
-    pad = size // 2 + 2
-    new = np.ones(len(item), bool)  # seeds on near diagonals share one stretch of text
-    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > pad[1:])
-    at = np.flatnonzero(new)
-    last = np.append(at[1:] - 1, len(item) - 1)
-    lo = np.maximum(diagonal[at] - pad[at], 0)
-    hi = np.minimum(diagonal[last] + size[last] + pad[last], len(numbers))
-    best: dict[int, tuple[float, int, int]] = {}
-    present = np.zeros(len(block.vocabulary) + 1, bool)
     hopeful = []
-    for k in range(len(at)):
-        stretch = numbers[lo[k] : hi[k]]  # -1, an unknown word, marks the last place, which no item's word has
+    present = np.zeros(len(block.vocabulary) + 1, bool)  # the last place is an unknown word's
+    for i, lo, hi in block.stretches(numbers):
+        item, n = block.items[i], int(block.size[i])
+        stretch = numbers[lo:hi]
         present[stretch] = True
-        if present[block.items[item[at[k]]]].sum() >= least * size[at[k]]:
-            hopeful.append(k)
+        known = present[item]
         present[stretch] = False
-    for start in range(0, len(hopeful), 64):
-        part = hopeful[start : start + 64]
-        owners = [int(item[at[k]]) for k in part]
-        score, end = align([block.items[i] for i in owners], [numbers[lo[k] : hi[k]] for k in part])
-        for k, i, s, e in zip(part, owners, score.tolist(), end.tolist(), strict=True):
-            size_i = len(block.items[i])
-            value = (s / (MATCH * size_i), int(max(lo[k], lo[k] + e - size_i)), int(lo[k] + e))
-            if value[0] < least:
+        if known.sum() < block.score * n:
+            continue
+        place, code = block.pairs(item)
+        seeds = place[np.isin(code, block.pairs(stretch)[1])]
+        if len(np.unique(seeds)) >= steps_needed(n, block.score):
+            hopeful.append((i, lo, hi))
+    best: dict[int, tuple[float, int, int]] = {}
+    hopeful.sort(key=lambda h: h[2] - h[1])
+    start = 0
+    while start < len(hopeful):
+        stop = start + 1
+        while stop < len(hopeful) and (stop + 1 - start) * (hopeful[stop][2] - hopeful[stop][1]) <= CELLS:
+            stop += 1
+        part = hopeful[start:stop]
+        start = stop
+        score, end = align([block.items[i] for i, _, _ in part], [numbers[lo:hi] for _, lo, hi in part])
+        for (i, lo, _), s, e in zip(part, score.tolist(), end.tolist(), strict=True):
+            n = int(block.size[i])
+            value = (s / (MATCH * n), int(max(lo, lo + e - n)), int(lo + e))
+            if value[0] < block.score - 1e-12:
                 continue
             if i not in best or (-value[0], value[1]) < (-best[i][0], best[i][1]):
                 best[i] = value
@@ -161,7 +206,7 @@ def found_in(block: Items, seeds: tuple[np.ndarray, np.ndarray], text: str, leas
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id",
-    gram: int = GRAM, min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS,
+    min_score: float = MIN_SCORE, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """(key, item_key, score, first_word, end_word): every item that aligns with a document by at least `min_score`."""
     spark = docs.sparkSession
@@ -169,13 +214,11 @@ def contaminated(
     schema = f"`{key}` {kind}, `{item_key}` {item_kind}, score double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
     for rows in in_blocks(benchmark.select(F.col(item_key).alias("id"), text_or_empty(item_text).alias("text")), block_items):
-        items = Items([r.text for r in rows], gram)
-        block = spark.sparkContext.broadcast(items)
-        seeds = spark.sparkContext.broadcast(seeds_of(items))
+        block = spark.sparkContext.broadcast(Items([r.text for r in rows], min_score))
         ids = [r.id for r in rows]
 
-        def run(batch: pa.RecordBatch, block=block, seeds=seeds, ids=ids) -> pa.RecordBatch:
-            found = [(i, *f) for i, t in enumerate(batch.column(1).to_pylist()) for f in found_in(block.value, seeds.value, t, min_score)]
+        def run(batch: pa.RecordBatch, block=block, ids=ids) -> pa.RecordBatch:
+            found = [(i, *f) for i, t in enumerate(batch.column(1).to_pylist()) for f in found_in(block.value, t)]
             at, item, *rest = zip(*found, strict=True) if found else [[]] * 5
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([ids[i] for i in item], target), *(pa.array(x, t) for x, t in zip(rest, (pa.float64(), pa.int64(), pa.int64()), strict=True))]
             return pa.RecordBatch.from_arrays(columns, [key, item_key, "score", "first_word", "end_word"])

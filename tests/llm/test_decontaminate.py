@@ -57,6 +57,36 @@ def test_equals_alignment_of_all_pairs(spark, corpus, block):
     assert kept == {k for k, _ in docs} - {k for k, _ in docs if str(k) in {g[0] for g in got}}
 
 
+def test_no_alignment_is_lost():
+    """Heavy edits: insertions of up to the item's length, in one place or spread, and 10 to 60 % of words changed."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(150)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    n_found = 0
+    for trial in range(400):
+        items = [say(rng.randint(3, 40)) for _ in range(4)]
+        x = rng.choice(items)
+        kind = trial % 5
+        if kind == 0:
+            middle = edited(rng, x, rng.uniform(0.1, 0.6))
+        elif kind == 1:
+            w = x.split()
+            at = rng.randint(1, len(w) - 1)
+            middle = " ".join([*w[:at], say(rng.randint(1, len(w))), *w[at:]])
+        elif kind == 2:
+            middle = " ".join(w + (" new" if i % 2 else "") for i, w in enumerate(x.split()))
+        elif kind == 3:
+            middle = " ".join("other" if i % 3 == trial % 3 else w for i, w in enumerate(x.split()))
+        else:
+            middle = " ".join(w + " in" for w in x.split())
+        text = f"{say(rng.randint(0, 50))} {middle} {say(rng.randint(0, 50))}"
+        want = {i: s for i, y in enumerate(items) if (s := plain_score(y, text)) >= 0.5}
+        got = {i: s for i, s, _, _ in dc.found_in(dc.Items(items, 0.5), text)}
+        assert got == want, (kind, x, text)
+        n_found += len(want)
+    assert n_found > 250
+
+
 def test_an_item_that_most_documents_hold_keeps_seeds(spark):
     item = " ".join(f"w{i}" for i in range(30))
     d = spark.createDataFrame([(i, f"a{i} {item} b{i}") for i in range(50)], "doc_id long, text string")
