@@ -1,42 +1,51 @@
 """Quality classifier by co-training of two views.
 
-One view sees a text's content (its words and the shapes of its tokens), the other the document's metadata (language, source
-and length). Each starts from labelled documents; over some rounds each labels those documents of an unlabelled pool of which
-it is confident, for the other to learn from. Logits of both are then combined and calibrated on held-out labelled documents,
-and all documents are scored. There is one such pair for the label quality and one for the label toxic; a document is kept
-if it is probably good and probably not toxic.
-
-Bounds: fitting takes at most `n_labelled` labelled and `n_pool` other documents, those with the smallest hashes of their
-doc_id; they alone come to the driver. Scoring covers all documents.
+One view sees a text's content (its words and their beginnings), the other the page's metadata: language, source, size, and
+how the page is laid out (shapes of its tokens, variety of tokens and lines). Each view blends a logistic regression on
+labelled documents with a naive Bayes classifier on labelled and pseudo-labelled ones, calibrated on held-out labelled rows. In
+each round both views score all unlabelled documents, and each hands those on of which it is confident: the other's class
+counts are made anew from the labelled rows and from what it was handed. What a view may hand on is measured: its least
+(greatest) probability above (below) which held-out rows have the label with a precision of PRECISION; if no such probability
+has MIN_ROWS rows, it hands none of that kind on. At last both calibrated views are combined, with weights of zero or more, and
+all documents are scored. There is one such pair for the label quality and one for the label toxic; a document is kept if it is
+probably good and probably not toxic.
+
+Bounds: regressions are fitted on at most `n_labelled` labelled documents, those with the smallest hashes of their doc_id;
+they come to the driver, at most one row for each id. Pseudo-labels and scoring cover all documents; of them only class counts
+of a fixed length come to the driver. Pseudo-labelled documents of a kind weigh no more than the labelled ones of that kind.
 
 Defined results: a null or empty text has no words; null metadata is a value of its own; a document with several labels takes
-their majority (a tie counts as 1), null labels don't count; without labels, or with labels of one kind only, the probability
-is the labels' share, or null without any, and a null one rejects nothing. Repeated rows score alike.
+their majority (a tie counts as 1), null labels don't count; of several texts under one labelled id the fit takes one; without
+labels, or with labels of one kind only, the probability is the labels' share, or null without any, and a null one rejects
+nothing. Repeated rows score alike. A very long text is handled as a whole, with memory in proportion to it. All columns are
+kept, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import in_arrow, map_arrow, text_or_empty
+from larder.llm.common import cut, drop_cut, in_arrow, map_arrow, text_or_empty
 
-WORD_DIM, SHAPE_DIM, EXTRA_DIM = 1 << 18, 512, 4
-TEXT_DIM = WORD_DIM + SHAPE_DIM + EXTRA_DIM
-META_DIM = 1 << 10
-N_LABELLED, N_POOL, ROUNDS = 6_000, 3_000, 3
-CONFIDENT = 0.97
+WORD_BITS, SHAPE_DIM, META_DIM = 18, 1 << 10, 1 << 12
+WORD_DIM = 1 << WORD_BITS
+N_LABELLED, ROUNDS = 6_000, 2
+PRECISION, MIN_ROWS = 0.95, 10
 CACHE_TOKENS = 100_000
 #: Columns of labels: probability of the value 1, and whether that value is the good one.
 HEADS = {"quality": True, "toxic": False}
-_KNOWN: dict[str, tuple[int, int, int]] = {}
+RESULTS = (*(f"p_{h}" for h in HEADS), "keep")
 STEM = 4  # letters of a word's beginning that are a feature of their own
+_KNOWN: dict[str, int] = {}
 
 
 def shape(token: str) -> str:
@@ -49,58 +58,44 @@ def shape(token: str) -> str:
     return out
 
 
-def token_places(token: str) -> tuple[int, int, int]:
-    """Places of a token's word, of its word's beginning and of its shape."""
-    if (found := _KNOWN.get(token)) is None:
-        if len(_KNOWN) >= CACHE_TOKENS:
-            _KNOWN.clear()
-        word = token.strip(".,;:!?\"'()[]").lower()
-        stem = word[:STEM] + "-" if len(word) > STEM else word
-        found = _KNOWN[token] = (zlib.crc32(word.encode()) % WORD_DIM, zlib.crc32(stem.encode()) % WORD_DIM, WORD_DIM + zlib.crc32(shape(token).encode()) % SHAPE_DIM)
-    return found
-
-
-def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values: presence of each word and beginning, share of each token shape, variety of tokens and lines."""
-    tokens = text.split()
-    if not tokens:
-        return np.array([TEXT_DIM - 1], np.int32), np.ones(1, np.float32)
-    places = np.array([token_places(t) for t in tokens], np.int32)
-    words = np.unique(places[:, :2])
-    shapes, counts = np.unique(places[:, 2], return_counts=True)
-    variety = len(set(tokens)) / min(len(tokens), 400)
+def token_places(token: str) -> int:
+    """Places of a token's word, of the word's beginning and of its shape in one number."""
+    word = token.strip(".,;:!?\"'()[]").lower()
+    stem = word[:STEM] + "-" if len(word) > STEM else word
+    return zlib.crc32(word.encode()) % WORD_DIM | (zlib.crc32(stem.encode()) % WORD_DIM | zlib.crc32(shape(token).encode()) % SHAPE_DIM << WORD_BITS) << WORD_BITS
+
+
+def features(text: str, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of words, places of metadata and their values."""
+    found = Counter(text.split())
+    if len(_KNOWN) > CACHE_TOKENS:
+        _KNOWN.clear()
+    for t in found:
+        if t not in _KNOWN:
+            _KNOWN[t] = token_places(t)
+    packed = np.fromiter(map(_KNOWN.__getitem__, found), np.int64, len(found))
+    words = np.unique(np.concatenate([packed, packed >> WORD_BITS]) & (WORD_DIM - 1))
+    n = found.total()
+    shapes = np.bincount(packed >> 2 * WORD_BITS, np.fromiter(found.values(), np.int64, len(found)), SHAPE_DIM)
+    at = np.flatnonzero(shapes)
     lines = text.split("\n")
-    extra = np.array([min(1.0, variety), len(set(lines)) / len(lines), min(1.0, len(text) / len(tokens) / 20)], np.float32)
-    place = np.concatenate([words, shapes, np.arange(WORD_DIM + SHAPE_DIM, TEXT_DIM - 1, dtype=np.int32)])
-    return place, np.concatenate([np.ones(len(words), np.float32), 3 * np.sqrt(counts / len(tokens)).astype(np.float32), extra])
-
-
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-    size = "?" if n_chars is None else str(max(0, int(n_chars)).bit_length())
-    names = (f"l={lang}", f"s={source}", f"n={size}", f"ln={lang} {size}")
-    place = np.array([zlib.crc32(x.encode()) % META_DIM for x in names], np.int32)
-    return place, np.ones(len(place), np.float32)
+    size = "?" if n_chars is None else max(0, int(n_chars)).bit_length()
+    variety = round(8 * len(found) / min(n, 400)) if n else "none"
+    names = (f"l={lang}", f"s={source}", f"n={size}", f"ln={lang} {size}", f"v={variety}", f"r={round(8 * len(set(lines)) / len(lines))}", f"w={len(lines).bit_length()}")
+    names += (f"t={round(len(text) / n) if n else 0}",)
+    named = np.array([SHAPE_DIM + zlib.crc32(x.encode()) % (META_DIM - SHAPE_DIM) for x in names], np.int64)
+    return words, np.concatenate([at, named]), np.concatenate([3 * np.sqrt(shapes[at] / max(n, 1)), np.ones(len(named))])
 
 
 class Rows:
-    """Sparse rows for fitting."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], dim: int):
-        self.n, self.dim = len(rows), dim
-        self.row = np.repeat(np.arange(self.n), [len(p) for p, _ in rows])
-        self.place = np.concatenate([*(p for p, _ in rows), np.zeros(0, np.int32)]).astype(np.int64)
-        self.value = np.concatenate([*(v for _, v in rows), np.zeros(0, np.float32)]).astype(np.float64)
-
-    @classmethod
-    def of(cls, places: pa.ChunkedArray, values: pa.ChunkedArray, dim: int) -> Rows:
-        """From columns of lists."""
-        out = cls([], dim)
-        out.n = len(places)
-        if out.n:
-            out.row = np.repeat(np.arange(out.n, dtype=np.int32), pc.list_value_length(places).to_numpy())
-            out.place = pc.list_flatten(places).to_numpy().astype(np.int32)
-            out.value = pc.list_flatten(values).to_numpy().astype(np.float32)
-        return out
+    """Sparse rows."""
+
+    def __init__(self, places: list[np.ndarray], values: list[np.ndarray] | None, dim: int):
+        self.n, self.dim = len(places), dim
+        size = np.fromiter(map(len, places), np.int64, len(places))
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), size)
+        self.place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32)
+        self.value = np.ones(len(self.place), np.float32) if values is None else np.concatenate([*values, np.zeros(0)]).astype(np.float32)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.place], self.n)
@@ -108,10 +103,13 @@ class Rows:
     def back(self, e: np.ndarray) -> np.ndarray:
         return np.bincount(self.place, self.value * e[self.row], self.dim)
 
-    def without(self, keep: np.ndarray) -> Rows:
-        out = Rows([], self.dim)
+    def narrowed(self, keep: np.ndarray, scale: np.ndarray) -> Rows:
+        """With only the places in `keep`, numbered anew, and their values scaled."""
+        out = Rows([], None, int(keep.sum()))
         at = keep[self.place]
-        out.n, out.row, out.place, out.value = self.n, self.row[at], self.place[at], self.value[at]
+        out.n, out.row = self.n, self.row[at]
+        out.place = (np.cumsum(keep) - 1).astype(np.int32)[self.place[at]]
+        out.value = self.value[at] * scale[self.place[at]].astype(np.float32)
         return out
 
 
@@ -119,9 +117,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: Rows, target: np.ndarray, weight: np.ndarray, l2: float, steps: int, start: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, float]:
+def fit(rows: Rows, target: np.ndarray, weight: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam over all rows; the weights' penalty is l2, the offset has none."""
-    w, b = (start[0].copy(), start[1]) if start else (np.zeros(rows.dim), 0.0)
+    w, b = np.zeros(rows.dim), 0.0
     m, v, mb, vb = np.zeros(rows.dim), np.zeros(rows.dim), 0.0, 0.0
     weight = weight / max(weight.sum(), 1e-9)
     for t in range(1, steps + 1):
@@ -137,97 +135,150 @@ def fit(rows: Rows, target: np.ndarray, weight: np.ndarray, l2: float, steps: in
 
 
 def calibrate(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Weights for columns of logits and an offset, by Newton steps with a small penalty."""
-    x = np.column_stack([np.clip(logits, -15, 15), np.ones(len(logits))])
-    c = np.zeros(x.shape[1])
-    penalty = np.diag([0.05] * (x.shape[1] - 1) + [0.001])
+    """Weights of zero or more for columns of logits, and an offset, by Newton steps with a small penalty."""
+    free = list(range(logits.shape[1]))
     soft = target * (1 - 2 / (len(target) + 2)) + 1 / (len(target) + 2)
-    for _ in range(50):
-        p = sigmoid(x @ c)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(len(c)), x.T @ (p - soft) + penalty @ c)
-        c -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return c
+    while True:
+        x = np.column_stack([np.clip(logits[:, free], -15, 15), np.ones(len(logits))])
+        c = np.zeros(x.shape[1])
+        penalty = np.diag([0.05] * (x.shape[1] - 1) + [0.001])
+        for _ in range(50):
+            p = sigmoid(x @ c)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(len(c)), x.T @ (p - soft) + penalty @ c)
+            c -= np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        if (c[:-1] >= 0).all():
+            out = np.zeros(logits.shape[1] + 1)
+            out[[*free, -1]] = c
+            return out
+        free.pop(int(c[:-1].argmin()))
+
+
+def confident(p: np.ndarray, target: np.ndarray) -> tuple[float, float]:
+    """(low, high): probabilities up to which, and from which on, a view is confident; -1 and 2 if it never is."""
+
+    def least(p: np.ndarray, y: np.ndarray) -> float:
+        order = np.argsort(-p, kind="stable")
+        n = np.arange(1, len(p) + 1)
+        ok = (np.cumsum(y[order]) >= PRECISION * n) & (n >= MIN_ROWS) & np.append(p[order][1:] != p[order][:-1], True)
+        return float(p[order][ok.nonzero()[0][-1]]) if ok.any() else 2.0
+
+    high, low = least(p, target), 1 - least(1 - p, 1 - target)
+    return min(low, 0.5 - 1e-9) if low >= 0 else -1.0, max(high, 0.5)
+
+
+class View:
+    """One view of one label: a regression's weights, log ratios of class counts, and how both are blended."""
+
+    def __init__(self, rows: Rows, target: np.ndarray, base: np.ndarray, l2: float, steps: int, least: int):
+        self.dim = rows.dim
+        self.own = [rows.back(np.where(base & (target == y), 1.0, 0.0)) for y in (0, 1)]
+        self.n_own = [int((base & (target == y)).sum()) for y in (0, 1)]
+        self.learn([np.zeros(self.dim)] * 2, [0, 0])
+        keep = np.bincount(rows.place, minlength=self.dim) >= least
+        # features count by how much more often either kind of document has them
+        scale = np.abs(self.ratio) if least > 1 else np.ones(self.dim)
+        w, self.offset = fit(rows.narrowed(keep, scale), np.where(base, target, 0), base.astype(float), l2, steps)
+        self.weight = np.zeros(self.dim)
+        self.weight[keep] = w * scale[keep]
+
+    def learn(self, counts: list[np.ndarray], n: list[int]) -> None:
+        """Class counts of the labelled rows, and of `n` pseudo-labelled ones, which weigh no more than those."""
+        total = [own + counts[y] * min(1.0, self.n_own[y] / max(n[y], 1)) for y, own in enumerate(self.own)]
+        seen = ((total[0] + total[1]) > 0).sum()
+        self.ratio = np.log(total[1] + 1) - np.log(total[1].sum() + seen) - np.log(total[0] + 1) + np.log(total[0].sum() + seen)
+
+    def logits(self, rows: Rows) -> np.ndarray:
+        size = np.sqrt(np.maximum(np.bincount(rows.row, rows.value, rows.n), 1))
+        return np.column_stack([rows.dot(self.weight) + self.offset, rows.dot(self.ratio) / size])
+
+    def calibrate(self, rows: Rows, target: np.ndarray, held: np.ndarray) -> None:
+        logits = self.logits(rows)[held]
+        # calibrated each by itself, so that the one which learns from the other view counts too where both know enough
+        each = np.array([calibrate(logits[:, [k]], target[held])[0] for k in (0, 1)])
+        whole = calibrate((np.clip(logits, -15, 15) @ each)[:, None], target[held])
+        self.blend = np.append(whole[0] * each, whole[1])
+        self.low, self.high = confident(self.probability(logits), target[held])
+
+    def probability(self, logits: np.ndarray) -> np.ndarray:
+        return sigmoid(np.clip(logits, -15, 15) @ self.blend[:-1] + self.blend[-1])
+
+    def sent(self, p: np.ndarray) -> list[np.ndarray]:
+        """Rows that are handed on as 0 and as 1."""
+        return [p <= self.low, p >= self.high]
 
 
 class Model:
     """Both views of one label and how they are combined; or a constant where labels don't allow a fit."""
 
-    def __init__(self, share: float | None):
-        self.share, self.views = share, None
-
-    def probabilities(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        """From the views' logits."""
-        return sigmoid(np.column_stack([np.clip(text, -15, 15), np.clip(meta, -15, 15)]) @ self.combine[:2] + self.combine[2])
-
-
-def co_train(text: Rows, meta: Rows, target: np.ndarray, *, rounds: int = ROUNDS) -> Model:
-    """target: 0 or 1 for labelled rows, NaN for the pool. A fifth of the labelled rows is held out for calibration."""
-    labelled = np.flatnonzero(~np.isnan(target))
-    model = Model(float(target[labelled].mean()) if len(labelled) else None)
-    held = np.random.default_rng(5).permutation(labelled)[: len(labelled) // 5]
-    base = np.setdiff1d(labelled, held)
-    if len(held) < 10 or len(np.unique(target[held])) < 2 or len(np.unique(target[base])) < 2:
-        return model
-    df = np.bincount(text.place, minlength=text.dim)
-    keep = (df >= 4) | (np.arange(text.dim) >= WORD_DIM)
-    text = text.without(keep)
-    # words count by how much more often either kind of document has them
-    seen = [np.bincount(text.place, text.value * np.isin(text.row, base[target[base] == y]), text.dim) for y in (0, 1)]
-    odds = np.abs(np.log((seen[1] + 1) / (seen[1].sum() + 2)) - np.log((seen[0] + 1) / (seen[0].sum() + 2)))
-    odds[WORD_DIM:] = 1
-    text.value = (text.value * odds[text.place]).astype(np.float32)
-    pool = np.flatnonzero(np.isnan(target))
-    targets = [target.copy(), target.copy()]  # what each view has learnt from
-    sides = [(text, 2e-5, 150), (meta, 1e-3, 120)]
-    views: list[tuple[np.ndarray, float]] = [None, None]
-    for r in range(rounds):
-        told = []
-        for k, (rows, l2, steps) in enumerate(sides):
-            known = ~np.isnan(targets[k])
-            known[held] = False
-            weight = np.where(known, np.where(np.isnan(target), 0.3, 1.0), 0.0)
-            views[k] = fit(rows, np.where(known, targets[k], 0), weight, l2, steps if not r else steps // 3, views[k])
-            logits = rows.dot(views[k][0]) + views[k][1]
-            c = calibrate(logits[held, None], target[held])
-            p = sigmoid(np.clip(logits, -15, 15) * c[0] + c[1])
-            told.append({int(i): float(p[i] > 0.5) for i in pool if max(p[i], 1 - p[i]) >= CONFIDENT})
-        if r + 1 < rounds:
-            for k in (0, 1):
-                targets[k] = target.copy()
-                for i, y in told[1 - k].items():
-                    targets[k][i] = y
-    logits = [rows.dot(w) + b for (rows, _, _), (w, b) in zip(sides, views, strict=True)]
-    model.views = [(views[0][0] * odds, views[0][1]), views[1]]
-    model.combine = calibrate(np.column_stack(logits)[held], target[held])
-    return model
-
-
-def trained(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", n_labelled: int = N_LABELLED, n_pool: int = N_POOL, rounds: int = ROUNDS) -> dict[str, Model]:
-    """A model for each label of HEADS."""
-    majority = [(F.avg(F.col(h).cast("double")) >= 0.5).cast("double").alias(f"y_{h}") for h in HEADS]
-    known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(*majority)
-    ids = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
-    chosen = known.join(ids, "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(n_labelled)
-    pool = ids.join(known, "k", "left_anti").orderBy(F.xxhash64("k"), "k").limit(n_pool)
-    sample = chosen.union(pool.select("k", *(F.lit(None).cast("double") for _ in HEADS)))
-    # of at most n_labelled + n_pool rows, so it can be broadcast
-    source = docs.join(F.broadcast(sample), F.col(key) == F.col("k")).select("k", text_or_empty(text).alias("text"), *metadata(docs), *(f"y_{h}" for h in HEADS))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [text_features(t) for t in batch.column(1).to_pylist()]
-        metas = [meta_features(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-        columns = [pa.array([x[i] for x in rows], pa.list_(t)) for rows in (texts, metas) for i, t in ((0, pa.int32()), (1, pa.float32()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns, *(batch.column(5 + i) for i in range(len(HEADS)))], ["k", "tp", "tv", "mp", "mv", *(f"y_{h}" for h in HEADS)])
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"k {kind}, tp array<int>, tv array<float>, mp array<int>, mv array<float>, " + ", ".join(f"y_{h} double" for h in HEADS)
-    got = map_arrow(source, run, schema).toArrow().sort_by("k")
-    text_rows, meta_rows = Rows.of(got.column("tp"), got.column("tv"), TEXT_DIM), Rows.of(got.column("mp"), got.column("mv"), META_DIM)
-    targets = {h: np.array(got.column(f"y_{h}").to_pylist(), dtype=float) for h in HEADS}
-    del got
-    return {h: co_train(text_rows, meta_rows, targets[h], rounds=rounds) for h in HEADS}
+    def __init__(self, sides: tuple[Rows, Rows], target: np.ndarray):
+        """target: 0, 1, or NaN if not known. A fifth of the labelled rows is held out for calibration."""
+        labelled = np.flatnonzero(~np.isnan(target))
+        self.share = float(target[labelled].mean()) if len(labelled) else None
+        self.views: list[View] | None = None
+        self.told: list[list[list[int]]] = []  # by round: rows that either view handed on, as 0 and as 1
+        self.sides, self.target = sides, target
+        self.held = np.random.default_rng(5).permutation(labelled)[: len(labelled) // 5]
+        base = ~np.isnan(target)
+        base[self.held] = False
+        if len(self.held) < 10 or len(np.unique(target[self.held])) < 2 or len(np.unique(target[base])) < 2:
+            return
+        self.views = [View(sides[0], target, base, 2e-5, 150, 4), View(sides[1], target, base, 1e-3, 120, 1)]
+        self.settle()
+
+    def settle(self) -> None:
+        for view, rows in zip(self.views, self.sides, strict=True):
+            view.calibrate(rows, self.target, self.held)
+        self.combine = calibrate(np.column_stack([v.logits(r)[self.held] for v, r in zip(self.views, self.sides, strict=True)]), self.target[self.held])
+
+    def learn(self, counts: list[list[np.ndarray]], n: list[list[int]]) -> None:
+        """counts and n by view that learns, then by label."""
+        self.told.append([n[1], n[0]])
+        for view, c, k in zip(self.views, counts, n, strict=True):
+            view.learn(c, k)
+        self.settle()
+
+    def sendable(self) -> Model:
+        """Without the rows that it was fitted on."""
+        self.sides = self.target = self.held = None
+        return self
+
+    def probabilities(self, sides: tuple[Rows, Rows]) -> np.ndarray:
+        if self.views is None:
+            return np.full(sides[0].n, np.nan if self.share is None else self.share)
+        logits = np.column_stack([v.logits(r) for v, r in zip(self.views, sides, strict=True)])
+        return sigmoid(np.clip(logits, -15, 15) @ self.combine[:-1] + self.combine[-1])
+
+
+def handed_on(views: list[View], sides: tuple[Rows, Rows]) -> tuple[list[list[np.ndarray]], list[list[int]]]:
+    """What each view learns from the other about unlabelled rows: class counts and numbers of rows, by view that learns."""
+    sent = [v.sent(v.probability(v.logits(r))) for v, r in zip(views, sides, strict=True)]
+    counts = [[sides[k].back(chosen.astype(float)) for chosen in sent[1 - k]] for k in (0, 1)]
+    return counts, [[int(chosen.sum()) for chosen in sent[1 - k]] for k in (0, 1)]
+
+
+FEATURES = "words binary, meta binary"
+
+
+def packed(batch: pa.RecordBatch, at: int) -> list[pa.Array]:
+    """The columns of FEATURES from a text at `at` and the metadata after it."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    words, meta = [], []
+    for x in zip(*(batch.column(at + i).to_pylist() for i in range(4)), strict=True):
+        w, place, value = features(*x)
+        words.append(pack(np.diff(w, prepend=0).astype("<u4").tobytes()))
+        meta.append(place.astype("<u2").tobytes() + value.astype("<f4").tobytes())
+    return [pa.array(words, pa.binary()), pa.array(meta, pa.binary())]
+
+
+def unpacked(words: list[bytes], meta: list[bytes]) -> tuple[Rows, Rows]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    places = [np.cumsum(np.frombuffer(unpack(x), "<u4"), dtype=np.int64) for x in words]
+    size = [len(x) // 6 for x in meta]
+    at = [np.frombuffer(x, "<u2", n) for x, n in zip(meta, size, strict=True)]
+    values = [np.frombuffer(x, "<f4", n, 2 * n) for x, n in zip(meta, size, strict=True)]
+    return Rows(places, None, WORD_DIM), Rows(at, values, META_DIM)
 
 
 def metadata(docs: DataFrame) -> list:
@@ -235,36 +286,95 @@ def metadata(docs: DataFrame) -> list:
     return [(F.col(n).cast(t) if n in docs.columns else F.lit(None).cast(t)).alias(f"m_{n}") for n, t in names.items()]
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", **bounds: int) -> DataFrame:
-    """All columns of the documents and p_quality, p_toxic (probabilities) and keep (boolean)."""
+def summed(payloads: Iterator[bytes]) -> np.ndarray | None:
+    out = None
+    for x in payloads:
+        part = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<f4").astype(np.float64)
+        out = part if out is None else out + part
+    return out
+
+
+def exchange(models: dict[str, Model], pool: DataFrame) -> None:
+    """One round over all unlabelled rows (those of `pool` whose label is null): both views learn from each other."""
+    open_heads = {h: m.views for h, m in models.items() if m.views}
+    sent = pool.sparkSession.sparkContext.broadcast(open_heads)
+    length = 2 * (WORD_DIM + META_DIM) + 4
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {h: np.zeros(length) for h in sent.value}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for i, (h, views) in enumerate(sent.value.items()):
+                rows = batch.filter(batch.column(2 + i).is_null())
+                counts, n = handed_on(views, unpacked(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+                total[h] += np.concatenate([*counts[0], *counts[1], *n])
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.concatenate([*total.values()]).astype("<f4").tobytes())], pa.binary())], ["counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = summed(x for batch in batches for x in batch.column(0).to_pylist())
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(out.astype("<f4").tobytes())], pa.binary())], ["counts"])
+
+    # one row of counts for each task, added up by tasks as many as the square root, so that few rows come to the driver
+    fan = math.isqrt(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    made = in_arrow(pool.select("words", "meta", *(f"y_{h}" for h in open_heads)), count, "counts binary")
+    made = in_arrow(made.repartition(fan), add, "counts binary")
+    total = summed(row.counts for row in made.toLocalIterator())
+    if total is None:
+        return
+    for (_, model), x in zip(((h, models[h]) for h in open_heads), total.reshape(len(open_heads), length), strict=True):
+        text, meta, n = np.split(x, [2 * WORD_DIM, length - 4])
+        model.learn([list(text.reshape(2, -1)), list(meta.reshape(2, -1))], n.astype(np.int64).reshape(2, 2).tolist())
+
+
+def trained(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", n_labelled: int = N_LABELLED, rounds: int = ROUNDS) -> dict[str, Model]:
+    """A model for each label of HEADS."""
+    ys = [f"y_{h}" for h in HEADS]
+    majority = [(F.avg(F.col(h).cast("double")) >= 0.5).cast("double").alias(f"y_{h}") for h in HEADS]
+    # written, so that the hot id of a skewed table can be split where documents meet labels
+    known = cut(labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(*majority))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), *packed(batch, 1)], ["k", "words", "meta"])
+
+    source = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text"), *metadata(docs))
+    rows = map_arrow(source, run, f"k {docs.schema[key].dataType.simpleString()}, {FEATURES}")
+    pool = cut(rows.join(known, "k", "left").select("k", "words", "meta", *ys))
+    labelled = pool.where(F.coalesce(*ys).isNotNull())
+    n = labelled.agg(F.approx_count_distinct("k")).first()[0]
+    if n > n_labelled:  # those with small hashes, some more than needed, so that few rows are put in order
+        share = min(1.0, 1.3 * n_labelled / n)
+        labelled = labelled.where(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    one = labelled.groupBy("k").agg(F.min(F.struct("words", "meta", *ys)).alias("r"))
+    got = one.orderBy(F.pmod(F.xxhash64("k"), F.lit(1 << 40)), "k").limit(n_labelled).select("k", "r.*").toArrow().sort_by("k")
+    sides = unpacked(got.column("words").to_pylist(), got.column("meta").to_pylist())
+    models = {h: Model(sides, np.array(got.column(f"y_{h}").to_pylist(), dtype=float)) for h in HEADS}
+    if any(m.views for m in models.values()):
+        for _ in range(rounds):
+            exchange(models, pool)
+    for x in (known, pool):
+        drop_cut(x)
+    return {h: m.sendable() for h, m in models.items()}
+
+
+def scored(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", names: tuple[str, ...] = RESULTS, **bounds: int) -> DataFrame:
+    """All columns of the documents and, as `names`, the probabilities of quality and toxic, and whether to keep (boolean)."""
     models = trained(docs, labels, text=text, key=key, **bounds)
     sent = docs.sparkSession.sparkContext.broadcast(models)
-    n = len(docs.columns)
-    names = [f"c{i}" for i in range(n)]
-    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), *metadata(docs))
-    place = docs.columns.index(text)
+    kept = [c for c in docs.columns if c not in names]
+    n = len(kept)
+    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), text_or_empty(text).alias("text"), *metadata(docs))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = {h: np.zeros((2, batch.num_rows)) for h in HEADS}  # a text's features go as soon as it has its logits
-            metas = zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True)
-            for i, (t, meta) in enumerate(zip(batch.column(place), metas, strict=True)):
-                views = text_features(t.as_py() or ""), meta_features(*meta)
-                for h, model in sent.value.items():
-                    for k, (w, b) in enumerate(model.views or ()):
-                        z[h][k, i] = views[k][1] @ w[views[k][0]] + b
-            columns = []
-            keep = np.ones(batch.num_rows, bool)
-            for h, good in HEADS.items():
-                model = sent.value[h]
-                if model.views is None:
-                    p = np.full(batch.num_rows, np.nan if model.share is None else model.share)
-                else:
-                    p = model.probabilities(*z[h])
-                columns.append(pa.array(p, mask=np.isnan(p)))
-                keep &= ~((p < 0.5) if good else (p >= 0.5))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns, pa.array(keep)], [*names, *(f"p_{h}" for h in HEADS), "keep"])
-
-    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    out = in_arrow(rows, run, f"{kinds}, " + ", ".join(f"p_{h} double" for h in HEADS) + ", keep boolean")
-    return out.toDF(*docs.columns, *(f"p_{h}" for h in HEADS), "keep")
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [features(*x) for x in zip(*(batch.column(n + i).to_pylist() for i in range(4)), strict=True)]
+        sides = Rows([x[0] for x in found], None, WORD_DIM), Rows([x[1] for x in found], [x[2] for x in found], META_DIM)
+        keep, columns = np.ones(batch.num_rows, bool), []
+        for h, good in HEADS.items():
+            p = sent.value[h].probabilities(sides)
+            columns.append(pa.array(p, mask=np.isnan(p)))
+            keep &= ~((p < 0.5) if good else (p >= 0.5))
+        return pa.RecordBatch.from_arrays([*batch.columns[:n], *columns, pa.array(keep)], [*(f"c{i}" for i in range(n)), "p0", "p1", "keep"])
+
+    kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)]
+    return map_arrow(rows, run, ", ".join([*kinds, "p0 double, p1 double, keep boolean"])).toDF(*kept, *names)

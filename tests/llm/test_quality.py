@@ -31,10 +31,10 @@ LABELS = "doc_id long, quality int, toxic int"
 def test_held_out_accuracy(spark):
     rows, labels = corpus(1, 900)
     extra = [(5000, None, None, None, None), (5001, "", "en", "src1", 0), (None, "word1", "en", "src1", 5), rows[0]]
-    docs = spark.createDataFrame([(*r, "x") for r in rows + extra], SCHEMA + ", keep string").withColumnRenamed("keep", "c0")
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows + extra], SCHEMA + ", keep string, c0 string")
     known = spark.createDataFrame([*labels[:500], (3, None, None), labels[4], (None, 1, 0), (99999, 1, 0)], LABELS)
     got = {r.doc_id: r for r in q.scored(docs, known).collect()}
-    assert docs.count() == len(rows) + 4 and len(got) == len(rows) + 3 and got[7].c0 == "x"
+    assert docs.count() == len(rows) + 4 and len(got) == len(rows) + 3 and got[7].c0 == "y"
     held = labels[500:]
     assert np.mean([(got[i].p_quality >= 0.5) == bool(y) for i, y, _ in held]) > 0.95
     assert np.mean([(got[i].p_toxic >= 0.5) == bool(t) for i, _, t in held]) > 0.95
@@ -50,17 +50,50 @@ def test_labels_that_allow_no_fit(spark, labels, p):
     assert q.scored(docs.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
 
 
-def test_pseudo_labels_reach_the_other_view():
-    """A view that can't tell kinds apart by its labelled rows learns from the other's labels of the pool."""
-    rng = np.random.default_rng(0)
-    n = 600
-    y = rng.integers(0, 2, n)
-    text = q.Rows([(np.array([10 + int(v)], np.int32), np.ones(1)) for v in y], q.TEXT_DIM)
-    group = rng.integers(0, 2, n)  # metadata of labelled rows says nothing: it has places of its own
-    labelled = np.arange(n) < 120
-    meta = q.Rows([(np.array([500 + int(g) if k else 2 + int(v)], np.int32), np.ones(1)) for v, g, k in zip(y, group, labelled)], q.META_DIM)
-    model = q.co_train(text, meta, np.where(labelled, y, np.nan), rounds=3)
-    w = model.views[1][0]
-    assert abs(w[3] - w[2]) > 0.0 or model.combine[0] > model.combine[1]
-    logits = text.dot(model.views[0][0]) + model.views[0][1]
-    assert ((logits > 0) == (y == 1)).mean() == 1.0
+def test_each_view_learns_from_the_other(spark):
+    """Sources of unlabelled documents come with labels only by the text view, words of others only by the metadata."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(1600):
+        y, known = rng.random() < 0.5, i < 400
+        early = i % 2 or known  # words that labelled documents have too
+        text = [rng.choice([f"neutral{k}" for k in range(200)]) for _ in range(30)]
+        text += [f"{('good', 'bad', 'nice', 'evil')[(not y) + 2 * (not early)]}{rng.randrange(8)}" for _ in range(4)]
+        right = y if rng.random() < 0.97 else not y
+        source = f"{'fine' if right else 'poor'}{rng.randrange(3)}{'' if known or not early else 'new'}"
+        rows.append((i, " ".join(text), "en", source, 100))
+        labels.append((i, int(y), 0))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    known = spark.createDataFrame(labels[:400], LABELS)
+    truth = np.array([y for _, y, _ in labels[400:]])
+    unseen = np.array([i % 2 == 1 for i in range(400, 1600)])
+    found = [q.features(*r[1:]) for r in rows[400:]]
+    sides = q.Rows([x[0] for x in found], None, q.WORD_DIM), q.Rows([x[1] for x in found], [x[2] for x in found], q.META_DIM)
+    right = {}
+    for rounds in (0, 2):
+        model = q.trained(docs, known, rounds=rounds)["quality"]
+        right[rounds] = [(v.probability(v.logits(r)) >= 0.5) == truth for v, r in zip(model.views, sides)]
+        assert (model.combine[:-1] >= 0).all() and all((v.blend[:-1] >= 0).all() for v in model.views)
+    assert len(model.told) == 2 and all(n > 50 for r in model.told for view in r for n in view)
+    # late words for the text view, new sources for the metadata view
+    assert right[0][0][~unseen].mean() < 0.8 and right[2][0][~unseen].mean() > 0.9
+    assert right[0][1][unseen].mean() < 0.8 and right[2][1][unseen].mean() > 0.85
+
+
+def test_rows_that_repeat_a_labelled_id_do_not_reach_the_driver(spark, monkeypatch):
+    rows, labels = corpus(4, 60)
+    docs = spark.createDataFrame(rows + [rows[0]] * 3000, SCHEMA)
+    sizes, plain = [], q.unpacked
+    monkeypatch.setattr(q, "unpacked", lambda words, meta: sizes.append(len(words)) or plain(words, meta))
+    q.trained(docs, spark.createDataFrame(labels, LABELS), n_labelled=40)
+    q.trained(docs, spark.createDataFrame(labels, LABELS), n_labelled=100)
+    assert sizes == [40, 60]
+
+
+def test_confidence_is_measured():
+    p = np.linspace(0, 1, 101)
+    low, high = q.confident(p, (p > 0.5).astype(float))
+    assert high == 0.5 or abs(high - 0.49) < 0.05
+    assert q.confident(p, np.tile([0.0, 1.0], 51)[:101]) == (-1.0, 2.0)
+    weights = q.calibrate(np.column_stack([p - 0.5, 0.5 - p]) * 8, (p > 0.4).astype(float))
+    assert weights[0] > 0 and weights[1] == 0
