@@ -1,18 +1,23 @@
 """Main text of HTML pages by two passes of block rules.
 
 A page is cut into blocks of text at block-level tags; unclosed and misnested tags are put right as browsers roughly do.
-The first pass decides blocks: by their containers (navigation, forms, adverts and the like never count; where a page marks
-its article, blocks outside don't count and those inside do unless they are lists of links), else by link density, length
-and stop-word density. The second pass gives the ambiguous short blocks the label of their nearest decided neighbours.
+Blocks inside navigation, forms, adverts, notices, comments and the like never count; no container makes a block count. Of the
+other blocks the first pass decides: those of links don't count; long and middling ones with many stop words do; lists with
+hardly any don't, nor does what stands in a container that often holds no text (related links, widgets) unless it is long and
+dense. The second pass gives each ambiguous block, short or with an unclear share of stop words, the label of its nearest decided
+neighbour: distance is the text between, and more if they aren't siblings, or parent and child; a heading looks ahead only. If
+no block of the page is decided to count, all ambiguous ones do.
 
 Defined results: a null or empty page has an empty text, as has one without a main text; markup cut off at the end of a page
-is dropped; repeated rows give equal results; a null page_id or url is kept; extra columns are ignored.
+is dropped; a very long page is handled as a whole, in memory and time in proportion to it; repeated rows give equal results; a
+null page_id or url is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,10 +38,11 @@ ENDS_P = BLOCK - {"br", "body", "html", "head", "button", "option", "optgroup",
 RAW = frozenset("script style noscript template iframe noembed noframes xmp svg math canvas object audio video title textarea".split())
 NEVER = frozenset("nav footer aside form menu dialog button select option optgroup datalist fieldset head search".split())
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
-    "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments disqus replies respond share sharing social "
-    "newsletter subscribe subscription signup login related recommended recommendations teaser widget toolbar pagination pager skip hidden".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal "
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus replies respond "
+    "newsletter subscribe subscription signup login pagination pager hidden".split()
 )
+WEAK_HINTS = frozenset("banner overlay aside share sharing social related recommended recommendations teaser widget toolbar skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 STOP_WORDS = frozenset(
     "the of and to in a is that it was for on are with as be by at from this have or had not but which he you were they an we all "
@@ -48,6 +54,9 @@ LINK_SHARE = 0.5
 LONG_CHARS = 80
 SHORT_WORDS = 10
 DENSE, SPARSE = 0.20, 0.08
+APART = 200  # characters that blocks without a common element count as further apart
+LISTED = frozenset("li td th dd dt".split())
+REPEATED = frozenset("li dd dt option tr td th".split())
 
 TOKEN = re.compile(r"<!--|<[!?]|</?[a-zA-Z]")
 TAG_REST = re.compile(r"""[^\s/>]*((?:"[^"]*"|'[^']*'|[^'">])*+)>""")
@@ -61,27 +70,32 @@ TEXT_WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     linked: int  # characters inside links
-    inside: bool  # an article or main element
     never: bool  # inside a container that never counts
+    weak: bool  # inside a container that often holds no text
     listed: bool  # a list item or table cell
+    prose: bool  # a paragraph or heading
     heading: bool
+    near: tuple[int, int]  # numbers of its element and of the one around it
+
 
+def unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element's tag or attributes say that it holds no main text, and whether they say so weakly.
 
-def unwanted(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's tag or attributes say that it holds no main text."""
-    if tag in NEVER or (tag == "header" and not inside):
-        return True
+    inside: of an article or main element, whose header is a part of it.
+    """
+    never, weak = tag in NEVER or (tag == "header" and not inside), False
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            if tag not in ("body", "html", "main") and not HINTS.isdisjoint(WORDS.findall(value)):
-                return True
+            if tag not in ("body", "html", "main", "article"):
+                found = WORDS.findall(value)
+                never |= not HINTS.isdisjoint(found)
+                weak |= not WEAK_HINTS.isdisjoint(found)
         elif name == "role":
-            if value in ROLES:
-                return True
+            never |= value in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            never = True
+    return never, weak
 
 
 def tags(page: str) -> Iterator[tuple[str, str, str]]:
@@ -119,23 +133,41 @@ def tags(page: str) -> Iterator[tuple[str, str, str]]:
     yield "".join(text), "", ""
 
 
+@dataclass
+class Element:
+    tag: str
+    number: int
+    never: bool
+    weak: bool
+    inside: bool  # an article or main element
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: tag, never, inside an article
+    stack: list[Element] = []  # open block elements
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, link_at = 0, -1  # depth of the stack where a link began
+    linked, link_at, number = 0, -1, 0  # link_at: depth of the stack where a link began
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                never, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                names = [s[0] for s in stack[-3:]]
-                out.append(Block(text, linked, inside, never, any(x in ("li", "td", "th", "dd", "dt") for x in names), bool(names) and names[-1][0] == "h" and names[-1][1:].isdigit()))
+                last = [e.tag for e in stack[-3:]]
+                own = last[-1] if last else ""
+                heading = own[:1] == "h" and own[1:].isdigit()
+                near = (stack[-1].number if stack else 0, stack[-2].number if len(stack) > 1 else 0)
+                never, weak = (stack[-1].never, stack[-1].weak) if stack else (False, False)
+                out.append(Block(text, linked, never, weak, not LISTED.isdisjoint(last), heading or own == "p", heading, near))
             parts.clear()
         linked = 0
 
+    def close() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
+
     for text, name, attributes in tags(page):
         if text:
             parts.append(text)
@@ -148,17 +180,17 @@ def blocks(page: str) -> list[Block]:
         elif name.lstrip("/") in BLOCK:
             flush()
             if name[0] == "/":
-                tag = name[1:]
-                if any(s[0] == tag for s in stack):
-                    while stack.pop()[0] != tag:
+                if opened[name[1:]]:
+                    while close() != name[1:]:
                         pass
             elif name not in VOID:
-                if stack and stack[-1][0] == "p" and name in ENDS_P:
-                    stack.pop()
-                elif stack and stack[-1][0] == name and name in ("li", "dd", "dt", "option", "tr", "td", "th"):
-                    stack.pop()
-                never, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                stack.append((name, never or unwanted(name, attributes, inside), inside or name in ("article", "main")))
+                if stack and ((stack[-1].tag == "p" and name in ENDS_P) or (stack[-1].tag == name and name in REPEATED)):
+                    close()
+                around = stack[-1] if stack else Element("", 0, False, False, False)
+                never, weak = unwanted(name, attributes, around.inside)
+                number += 1
+                stack.append(Element(name, number, never or around.never, weak or around.weak, around.inside or name in ("article", "main")))
+                opened[name] += 1
             if link_at > len(stack):
                 link_at = -1
     flush()
@@ -169,49 +201,50 @@ GOOD, BAD, UNSURE = 1, 0, -1
 
 
 def first_pass(found: list[Block]) -> list[int]:
-    marked = any(b.inside and not b.never for b in found)
-
     def label(b: Block) -> int:
-        share = b.linked / max(1, len(b.text))
-        if b.never or (marked and not b.inside):
-            return BAD
-        if marked:
-            return BAD if b.listed and share > LINK_SHARE else GOOD
-        if share > LINK_SHARE:
+        if b.never:
             return BAD
+        if b.linked > LINK_SHARE * len(b.text):
+            return UNSURE if b.prose and not b.weak else BAD
         words = TEXT_WORD.findall(b.text.lower())
         dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if len(b.text) >= LONG_CHARS:
-            return GOOD if dense >= DENSE else BAD if dense < SPARSE and b.listed else UNSURE
-        return UNSURE if len(words) <= SHORT_WORDS or dense < DENSE else GOOD
+        long = len(b.text) >= LONG_CHARS
+        if b.weak:
+            return GOOD if long and dense >= DENSE else BAD
+        if dense >= DENSE and (long or len(words) > SHORT_WORDS):
+            return GOOD
+        return BAD if long and b.listed and dense < SPARSE else UNSURE
 
     return [label(b) for b in found]
 
 
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
-    """Ambiguous blocks take the label of the nearest decided block by characters between; headings look ahead only, and on
-    a tie, or if nothing is decided, long blocks count and short ones don't."""
-    n = len(found)
-    before: list[tuple[int, int]] = []
-    distance, last = 0, UNSURE
-    for b, x in zip(found, labels, strict=True):
-        before.append((distance, last))
-        distance, last = (0, x) if x != UNSURE else (distance + len(b.text), last)
+    """Ambiguous blocks take the label of the nearest decided block, on a tie that of the one before."""
+    if GOOD not in labels:
+        return [GOOD if x == UNSURE else x for x in labels]
+    at = [i for i, b in enumerate(found) if not b.never]  # other blocks aren't neighbours of any
+
+    def nearest(order: list[int]) -> dict[int, tuple[int, int]]:
+        """(distance, label) of the decided block before, in this order."""
+        out: dict[int, tuple[int, int]] = {}
+        last, between = -1, 0
+        for i in order:
+            if labels[i] != UNSURE:
+                last, between = i, 0
+                continue
+            if last >= 0:
+                out[i] = between + (0 if not set(found[i].near).isdisjoint(found[last].near) else APART), labels[last]
+            between += len(found[i].text)
+        return out
+
+    before, after = nearest(at), nearest(at[::-1])
     out = list(labels)
-    distance, last = 0, UNSURE
-    for i in range(n - 1, -1, -1):
+    for i in at:
         if labels[i] == UNSURE:
-            (d0, l0), (d1, l1) = before[i], (distance, last)
-            if found[i].heading and l1 != UNSURE:
-                out[i] = l1
-            elif l0 == UNSURE or l1 == UNSURE or l0 == l1:
-                known = max(l0, l1)
-                out[i] = known if known != UNSURE else int(len(found[i].text) >= LONG_CHARS)
-            else:
-                out[i] = l0 if d0 < d1 else l1 if d1 < d0 else int(len(found[i].text) >= LONG_CHARS)
-            distance += len(found[i].text)
-        else:
-            distance, last = 0, labels[i]
+            ahead = [after[i]] if i in after else []
+            back = [before[i]] if i in before else []
+            known = ahead if found[i].heading and ahead else back + ahead
+            out[i] = min(known, key=lambda k: k[0])[1]
     return out
 
 
