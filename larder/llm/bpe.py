@@ -3,9 +3,11 @@
 Each piece of a text owns a segment tree over its byte positions. A leaf holds the rank of the pair that starts at the
 live token of that position (NONE where there is no such pair); an inner node holds the smaller rank below it, so that a
 descent that prefers the left child finds the leftmost minimum. A merge changes two leaves and their logarithmically many
-ancestors. The trees of many pieces lie side by side in one numpy array, and all pieces take their next merge together.
+ancestors. The trees of many short pieces lie side by side in one numpy array, and all pieces take their next merge together; a
+long piece has a tree of its own in a list, so that a megabyte without a break takes seconds.
 
-Nulls and empty texts: no tokens. Repeated rows: one result each. Extra columns are ignored.
+Nulls and empty texts: no tokens. Repeated rows: one result each. Very long texts are encoded as a whole, their pieces (of any
+length) one by one. A null key is kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from larder.llm.common import map_arrow, slices, text_or_empty
 NONE = np.int64(1 << 40)
 #: A worker keeps the ids of up to twice this many recent pieces. It bounds memory, not results.
 CACHE_PIECES = 120_000
+#: Pieces of at least this many bytes have a tree of their own.
+LONG = 256
 
 
 class Vocabulary:
@@ -46,12 +50,19 @@ class Vocabulary:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.pair_keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
         self.pair_ranks = np.append(np.array(values, np.int64)[order], NONE)
+        self._joined: dict[int, int] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
+    def joined(self) -> dict[int, int]:
+        """The pairs that join and their ranks, made when first needed."""
+        if not self._joined:
+            self._joined = dict(zip(self.pair_keys[:-1].tolist(), self.pair_ranks[:-1].tolist(), strict=True))
+        return self._joined
+
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the joined tokens; NONE where a token is missing (negative) or the pair doesn't join."""
         keys = left << 32 | np.maximum(right, 0)
@@ -103,6 +114,53 @@ def encode_equal(pieces: list[bytes], width: int, vocab: Vocabulary) -> list[byt
     return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def encode_long(piece: bytes, vocab: Vocabulary) -> bytes:
+    """Token ids, as little-endian 32-bit bytes, of one piece, by the same tree in plain integers."""
+    n, none = len(piece), int(NONE)
+    width = 1 << (n - 1).bit_length()
+    token = vocab.single[np.frombuffer(piece, np.uint8)]
+    if (token < 0).any():
+        raise ValueError("the vocabulary lacks a single byte")
+    leaves = np.full(width, none)
+    leaves[: n - 1] = vocab.pair_rank(token[:-1], token[1:])
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+    tree = [none, *(x for level in levels[::-1] for x in level.tolist())]
+    token, after, before = token.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    joined = vocab.joined()
+
+    def put(node: int, value: int) -> None:
+        tree[node] = value
+        while node > 1:
+            other = tree[node ^ 1]
+            node >>= 1
+            if other < value:
+                value = other
+            if tree[node] == value:
+                return
+            tree[node] = value
+
+    while (least := tree[1]) < none:
+        node = 1
+        while node < width:
+            node *= 2
+            node += tree[node] != least  # the left child if it has the least rank
+        i = node - width
+        j = after[i]
+        k = after[i] = after[j]
+        token[i], token[j] = least, -1
+        put(width + j, none)
+        if k < n:
+            before[k] = i
+            put(width + i, joined.get(least << 32 | token[k], none))
+        else:
+            put(width + i, none)
+        if (p := before[i]) >= 0:
+            put(width + p, joined.get(token[p] << 32 | least, none))
+    return np.array([t for t in token if t >= 0], "<u4").tobytes()
+
+
 def update(tree: np.ndarray, rows: np.ndarray, node: np.ndarray, value: np.ndarray) -> None:
     """Set one leaf of each row and renew the nodes above it."""
     if not len(rows):
@@ -120,6 +178,8 @@ def encode_pieces(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
     for i, p in enumerate(pieces):
         if (r := vocab.ranks.get(p)) is not None:
             out[i] = r.to_bytes(4, "little")
+        elif len(p) >= LONG:
+            out[i] = encode_long(p, vocab)
         else:
             by_width.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
     for width, at in by_width.items():

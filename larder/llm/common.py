@@ -70,10 +70,13 @@ def slices(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir. Only where none is set (tests on one machine) a local one is chosen."""
+    """The shared folder in spark.checkpoint.dir. Where none is set a session on one machine gets a local one; on a cluster,
+    whose executors would each write to their own disk, that is an error."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/checkpoints/larder"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -97,9 +100,16 @@ def drop_cut(df: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column in `taken` has it."""
+    while name.lower() in map(str.lower, taken):
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by keys, by the session's number of shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-__all__ = ["SLICE_BYTES", "StorageLevel", "checkpoint_dir", "cut", "drop_cut", "in_arrow", "map_arrow", "slices", "spread", "table", "text_or_empty"]
+__all__ = ["SLICE_BYTES", "StorageLevel", "checkpoint_dir", "cut", "drop_cut", "fresh", "in_arrow", "map_arrow", "slices", "spread", "table", "text_or_empty"]

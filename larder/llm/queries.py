@@ -46,9 +46,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media.features(media.store_texts(table(spark, sf_dir, "documents")), keep_media=False)
+    stored = media.store_texts(table(spark, sf_dir, "documents"), with_bmp=True)
+    out = media.features(media.features(stored, keep_media=False), media="bmp", keep_media=False, prefix="bmp_")
     tile = F.substring(F.sha2("tile_npy", 256), 1, 16)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat_ws(":", "dhash", tile).alias("feature"))
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return out.select(*names, F.concat_ws(":", "dhash", tile).alias("feature"), "tile_npy", "bmp_media_bytes", "bmp_media_sha256", "bmp_payload_sha256", "bmp_dhash")
 
 
 #: A conversation whose texts look like control strings.
@@ -93,7 +95,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_lines_removed", F.length("text").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_lines_removed", "n_runs_removed", F.length("text").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -33,6 +34,20 @@ def test_any_text(t):
     assert ids_of(coder.encode([t])[0]) == CODER.encode_ordinary(t)
 
 
+def test_long_pieces():
+    rng = random.Random(7)
+    for n in (256, 257, 1000, 4097):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "é😀x"):
+            t = "".join(rng.choice(letters) for _ in range(n))
+            assert ids_of(bpe.encode_long(t.encode(), VOCAB)) == CODER._encode_single_piece(t)
+            small = t[:100].encode()
+            assert bpe.encode_long(small, VOCAB) == bpe.encode_equal([small], 1 << (len(small) - 1).bit_length(), VOCAB)[0]
+    began = time.time()
+    t = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    data = bpe.Encoder(VOCAB, P.PATTERN).encode([t])[0]
+    assert bpe.Encoder(VOCAB, P.PATTERN).decode(data) == t.encode() and time.time() - began < 60
+
+
 def test_leftmost_minimum_on_ties():
     ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"aaa": 300}
     vocab = bpe.Vocabulary(ranks)

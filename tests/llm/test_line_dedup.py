@@ -31,7 +31,7 @@ def test_equals_brute_force(spark, seed, least):
         rows.append((i * 2, "\n".join(lines)))
     rows += [(101, rows[4][1]), (1, None), (3, ""), (None, rows[7][1]), rows[9], (200, "\n".join(pool * 3))]
     rng.shuffle(rows)
-    docs = spark.createDataFrame([(k, t, 1, 2) for k, t in rows], "doc_id long, text string, rank int, doc int").repartition(3)
+    docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, rank int, doc int, n_lines int").repartition(3)
     gone = plain(rows, least)
     got = ld.deduplicated(docs, min_words=least).collect()
     assert len(got) == len(rows)
@@ -39,7 +39,8 @@ def test_equals_brute_force(spark, seed, least):
         lines = (dict(rows)[r.doc_id] or "").split("\n")
         assert r.n_lines_removed == len(gone[r.doc_id]), (r, gone[r.doc_id])
         assert (r.text or "") == "\n".join(x for i, x in enumerate(lines) if i not in gone[r.doc_id])
-        assert (r.rank, r["doc"]) == (1, 2)
+        assert (r.rank, r["doc"], r.n_lines) == (1, 2, len(lines))
+        assert r.n_runs_removed == sum(i - 1 not in gone[r.doc_id] for i in gone[r.doc_id])
 
 
 def test_texts_that_share_an_id_keep_their_own_lines(spark):
@@ -49,6 +50,15 @@ def test_texts_that_share_an_id_keep_their_own_lines(spark):
     assert sum(n for _, n in got) == 2 and sum("m n o p" in t for t, _ in got) == 1
 
 
+def test_ranks_are_in_suffix_order(spark):
+    lines = ["a b", "c d", "a b", "c d", "e f", "a b", "c d", "e f", "x"]
+    rows = spark.createDataFrame([((0, 0), i, ord(x[0]), 0) for i, x in enumerate(lines)], "doc struct<key: long, hash: long>, line long, id long, id2 long")
+    ranks = {r.line: r.rank for r in ld.shared(rows, ["id", "id2"], []).collect()}
+    order = sorted(ranks, key=lambda i: lines[i])
+    assert sorted(ranks) == list(range(8)) and [ranks[i] for i in order] == sorted(ranks.values())
+    assert all((ranks[i] == ranks[j]) == (lines[i] == lines[j]) for i in ranks for j in ranks)
+
+
 def test_windows():
     a, b = ld.windows(np.array([0, 3, 0, 1, 5]), 4)
     assert a.tolist() == [4, 3, 3, 2, 1]
