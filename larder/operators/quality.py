@@ -66,7 +66,7 @@ def run_gate(spark: SparkSession, catalog: DataFrame, offers: DataFrame, matched
     row = metrics(catalog, offers, matched, previous).first().asDict()
     day = day or date.today()
     spark.createDataFrame([(day, *(row[m] for m in METRICS))], "date date, " + ", ".join(f"{m} long" for m in METRICS)).write.mode("append").parquet(history)
-    write_snapshot(catalog, snapshot)
+    write_snapshot(catalog.orderBy("id"), snapshot)
     stale = [r.id for r in sample(id_sets(catalog, offers, matched)["stale"]).collect()]
     return row | {"date": day.isoformat(), "stale_sample": stale, "error": bool(row["stale"]), "warning": row["missed_deals"] > MANY_MISSED_DEALS}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,33 +10,9 @@ from larder.functions import vocabulary as V
 from larder.functions.regex import py_regex
 from larder.operators import cache, catalog, choice, dashboards, pages, preprocess, quality, retrieval, scoring, vectors, warehouse
 from larder.plans import matcher
+from larder.plans.registry import ORACLES, QUERIES, cents, query, table
 from larder.streaming.landing import windowed_counts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def cents(c: str) -> F.Column:
-    return F.round(F.col(c) * 100).cast("long")
-
-
 # Warehouse and catalog
 
 
@@ -136,10 +110,14 @@ def record_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT substr(sha256(string_agg(n_nationkey || '|' || n_name, '' ORDER BY CAST(n_nationkey AS VARCHAR))), 1, 16) AS catalog_hash FROM nation")
+@query("""
+WITH h AS (SELECT substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 2) AS part, sha256(p_partkey || '|' || p_name) AS h FROM part),
+r AS (SELECT part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY part)
+SELECT substr(sha256(string_agg(h, '' ORDER BY part)), 1, 16) AS catalog_hash FROM r
+""")
 def catalog_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A13, F31, on a table of 25 rows."""
-    return catalog.ordered_hash(table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+    """The hash that the matcher keys its candidate cache by."""
+    return catalog.catalog_hash(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
 # Text and rules
@@ -204,28 +182,6 @@ def colour_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(colours, ",").alias("colours"), rules.colour_mismatch(F.col("text"), F.lit("Paprika rot 1 Stück")).alias("mismatch"))
 
 
-RULE_ROWS = [
-    ("Stiel/e Thymian", "Thymian gerebelt 16g", "Gewürze", "getrocknet_verarbeitet", True, False, False),
-    ("Stiel/e Petersilie", "Bio Petersilie 50g", "Tiefkühl-Kräuter", "tk", True, False, False),
-    ("Bohnen, grüne", "Brechbohnen weiß 185g", "Bohnen-Konserven", "konserve", False, True, False),
-    ("Paprikaschote(n), bunt", "Paprika rot ca. 250g", "Gemüse", "unbekannt", False, False, False),
-    ("Piment, ganz", "Piment gemahlen 35g", "Gewürze", "getrocknet_verarbeitet", False, False, True),
-    ("Nelke(n), gemahlen", "Bio Nelken ganz 30g", "Gewürze", "unbekannt", False, False, False),
-]
-
-
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in RULE_ROWS)
-    + ") t(ingredient, product, category, product_state, state_mismatch, colour_mismatch, form_mismatch)"
-)
-def rule_vetoes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F13 to F19, P17 on literal rows with stated results."""
-    rows = spark.createDataFrame([r[:3] for r in RULE_ROWS], "ingredient string, product string, category string")
-    a, b, c = F.col("ingredient"), F.col("product"), F.col("category")
-    return rows.select("*", rules.product_state(b, c).alias("product_state"), rules.state_mismatch(a, b, c).alias("state_mismatch"), rules.colour_mismatch(a, b).alias("colour_mismatch"), rules.form_mismatch(a, b).alias("form_mismatch"))
-
-
 @query("""
 SELECT p_partkey, CASE WHEN p_partkey % 3 <> 1 AND p_size > 0 THEN CAST(ceil(CASE p_partkey % 3 WHEN 0 THEN 1500.0 ELSE 7.0 END / p_size) AS BIGINT) END AS packages FROM part
 """)
@@ -283,16 +239,16 @@ cand AS (SELECT l_orderkey, pos, l_partkey AS id, 0 AS k, l_partkey FROM line UN
 priced AS (SELECT c.*, CAST(round(p.p_retailprice * 100) AS BIGINT) AS cost, n.p_name AS raw FROM cand c JOIN part p ON c.id = p.p_partkey JOIN part n ON c.l_partkey = n.p_partkey),
 best AS (SELECT l_orderkey, pos, any_value(raw) AS raw, arg_min(id, (cost, k)) AS id, min(cost) AS cost FROM priced GROUP BY 1, 2),
 named AS (SELECT l_orderkey, raw AS name, arg_min(id, (cost, pos)) AS id, min(pos) AS pos FROM best GROUP BY 1, 2)
-SELECT CAST(l_orderkey AS VARCHAR) AS hash, 'Order ' || l_orderkey AS recipe_name, string_agg(name || '=' || id, ';' ORDER BY pos) AS ingredients FROM named WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey
+SELECT CAST(l_orderkey AS VARCHAR) AS hash, 'Order ' || l_orderkey AS recipe_name, string_agg(name || '=' || id, ';' ORDER BY pos) AS ingredients FROM named GROUP BY l_orderkey
 """)
 def build_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C4 with J4, J5, A8, A11, A15, F21, F22: orders as recipes, their lines as ingredients; half have an address."""
+    """C4 with J4, J5, A8, A11, A15, F21, F22: orders as recipes, their lines as ingredients."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     entry = F.struct(F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"), F.col("p_name").alias("raw"), F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("product_ids"))
     recipes = lines.groupBy(F.col("l_orderkey").alias("recipe_idx")).agg(F.sort_array(F.collect_list(entry)).alias("I"))
     recipes = recipes.select("recipe_idx", F.lit("").alias("N"), F.concat(F.lit("https://r/"), F.col("recipe_idx").cast("string")).alias("U"), "I")
     products = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), cents("p_retailprice").alias("price"), F.lit(False).alias("on_offer"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("k"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"))
     urls = choice.url_map(orders.select(F.lit(1).alias("line_no"), F.concat(F.lit("https://r/"), "k").alias("recipe_url"), F.concat(F.lit("https://m/"), "k", F.lit("/")).alias("mapping_url"), F.concat(F.lit("Order "), "k").alias("recipe_name")))
     out = choice.build_mappings(recipes, products, urls)
     return out.select("hash", "recipe_name", F.array_join(F.transform("ingredients", lambda e: F.concat(e["name"], F.lit("="), e["product_id"])), ";").alias("ingredients"))
@@ -530,3 +486,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P23."""
     return table(spark, sf_dir, "pages").agg(F.count_if(pages.is_mapping_page(F.col("url"), py_regex(r"\.net/"))).alias("mapped"), F.count("*").alias("pages"))
+
+
+from larder.plans import shop_queries  # noqa: E402, F401 (registers its queries)
+
+__all__ = ["ORACLES", "QUERIES"]

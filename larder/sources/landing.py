@@ -30,7 +30,8 @@ def read_pages(spark: SparkSession, folder: str, schema: T.StructType | None = N
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:
-    pages.write.mode("overwrite").json(folder)
+    """One file for each page, as `read_pages` takes them."""
+    pages.write.mode("overwrite").option("maxRecordsPerFile", 1).json(folder)
 
 
 def unnest(pages: DataFrame, items: str = "_embedded.products") -> DataFrame:

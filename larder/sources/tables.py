@@ -97,15 +97,17 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
 
 
 def read_url_lines(spark: SparkSession, path: str, source: str = "recipe_url", target: str = "mapping_url") -> DataFrame:
-    """Lines of a JSONL file of addresses with their place in the file, by which later lines win."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    """Lines of JSONL files of addresses with their place, by which later lines win: file, block of the file, and row number, which
+    rises within a block. Files are read in blocks, by as many tasks as there are."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(place.alias("line_no"), "value")
     parsed = lines.select("line_no", F.from_json("value", f"{source} string, {target} string, recipe_name string").alias("j"))
     return parsed.select("line_no", "j.*")
 
 
 def write_mappings(mappings: DataFrame, path: str, mode: str) -> None:
-    """Mappings of one mode (cheapest or offers) beside those of others."""
-    mappings.withColumn("mode", F.lit(mode)).write.mode("append").partitionBy("mode").json(path)
+    """Mappings of one mode (cheapest or offers) beside those of others, in place of that mode's earlier ones."""
+    mappings.withColumn("mode", F.lit(mode)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("mode").json(path)
 
 
 def point_lookup(mappings: DataFrame, page_url: str) -> DataFrame:
