@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,68 +33,132 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, drop_cut, in_arrow, map_arrow, text_or_empty
+from larder.llm.common import cut, drop_cut, in_arrow, map_arrow, slices, text_or_empty
 
-WORD_BITS, SHAPE_DIM, META_DIM = 18, 1 << 10, 1 << 12
-WORD_DIM = 1 << WORD_BITS
+WORD_BITS, SHAPE_BITS, META_DIM = 18, 10, 1 << 12
+WORD_DIM, SHAPE_DIM = 1 << WORD_BITS, 1 << SHAPE_BITS
 N_LABELLED, ROUNDS = 6_000, 2
 PRECISION, MIN_ROWS = 0.95, 10
-CACHE_TOKENS = 100_000
+#: Characters of texts whose tokens are found together, so that arrays stay in the processor's cache.
+SLICE = 300_000
 #: Columns of labels: probability of the value 1, and whether that value is the good one.
 HEADS = {"quality": True, "toxic": False}
 RESULTS = (*(f"p_{h}" for h in HEADS), "keep")
-STEM = 4  # letters of a word's beginning that are a feature of their own
-_KNOWN: dict[str, int] = {}
+STEM = 4  # bytes of a word's beginning that are a feature of their own
 
 
-def shape(token: str) -> str:
-    """Runs of capitals, small letters and digits as one sign each, other characters as they are, ends only."""
-    out = ""
-    for c in token[:4] + token[-4:] if len(token) > 8 else token:
-        k = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
-        if not out or out[-1] != k or not k.isalnum():
-            out += k
+def signs() -> np.ndarray:
+    """For each byte the sign that stands for it in a token's shape: one each for capitals, small letters (bytes beyond ASCII
+    among them) and digits, other characters themselves."""
+    out = np.arange(256)
+    out[ord("A") : ord("Z") + 1], out[ord("a") : ord("z") + 1], out[128:], out[ord("0") : ord("9") + 1] = 1, 2, 2, 3
     return out
 
 
-def token_places(token: str) -> int:
-    """Places of a token's word, of the word's beginning and of its shape in one number."""
-    word = token.strip(".,;:!?\"'()[]").lower()
-    stem = word[:STEM] + "-" if len(word) > STEM else word
-    return zlib.crc32(word.encode()) % WORD_DIM | (zlib.crc32(stem.encode()) % WORD_DIM | zlib.crc32(shape(token).encode()) % SHAPE_DIM << WORD_BITS) << WORD_BITS
-
-
-def features(text: str, lang: str | None, source: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of words, places of metadata and their values."""
-    found = Counter(text.split())
-    if len(_KNOWN) > CACHE_TOKENS:
-        _KNOWN.clear()
-    for t in found:
-        if t not in _KNOWN:
-            _KNOWN[t] = token_places(t)
-    packed = np.fromiter(map(_KNOWN.__getitem__, found), np.int64, len(found))
-    words = np.unique(np.concatenate([packed, packed >> WORD_BITS]) & (WORD_DIM - 1))
-    n = found.total()
-    shapes = np.bincount(packed >> 2 * WORD_BITS, np.fromiter(found.values(), np.int64, len(found)), SHAPE_DIM)
-    at = np.flatnonzero(shapes)
-    lines = text.split("\n")
-    size = "?" if n_chars is None else max(0, int(n_chars)).bit_length()
-    variety = round(8 * len(found) / min(n, 400)) if n else "none"
-    names = (f"l={lang}", f"s={source}", f"n={size}", f"ln={lang} {size}", f"v={variety}", f"r={round(8 * len(set(lines)) / len(lines))}", f"w={len(lines).bit_length()}")
-    names += (f"t={round(len(text) / n) if n else 0}",)
-    named = np.array([SHAPE_DIM + zlib.crc32(x.encode()) % (META_DIM - SHAPE_DIM) for x in names], np.int64)
-    return words, np.concatenate([at, named]), np.concatenate([3 * np.sqrt(shapes[at] / max(n, 1)), np.ones(len(named))])
+SIGNS = signs()
+LOWER = np.arange(256)
+LOWER[ord("A") : ord("Z") + 1] += 32
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+INNER = ~np.isin(np.arange(256), list(b".,;:!?\"'()[] \t\n\x0b\x0c\r"))  # what a word may begin and end with
+#: Hashes of bytes and signs, and of their places in a token.
+_OF_BYTE, _OF_SIGN, _OF_PLACE = np.random.default_rng(11).integers(0, 1 << 63, (3, 256), np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ranges, none of them empty: each place, its offset in the range, and where ranges begin among the places."""
+    first = np.cumsum(size) - size
+    offset = np.arange(int(size.sum())) - np.repeat(first, size)
+    return np.repeat(start, size) + offset, offset, first
+
+
+def mixed(x: np.ndarray, bits: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def tokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token between white space: its start, hashes of its word (lower case, without punctuation at its ends) and of
+    the word's beginning, 0 without a word, and of its shape (signs, runs as one, the first eight)."""
+    inside = ~SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return start, *(np.zeros(0, np.uint64),) * 3
+    at, offset, first = runs(start, stop - start)
+    sign = SIGNS[raw[at]]
+    kept = (offset == 0) | (sign > 3) | (sign != np.concatenate([[0], sign[:-1]]))
+    rank = np.cumsum(kept)
+    rank -= np.repeat(rank[first], stop - start)
+    shape = np.add.reduceat(np.where(kept & (rank < 8), _OF_SIGN[sign] * _OF_PLACE[np.clip(rank, 0, 255)], np.uint64(0)), first)
+    inner = np.flatnonzero(INNER[raw])
+    lo, hi = np.searchsorted(inner, start), np.searchsorted(inner, stop)
+    has = np.flatnonzero(hi > lo)
+    word, stem = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+    if len(has):
+        begin, size = inner[lo[has]], inner[hi[has] - 1] + 1 - inner[lo[has]]
+        at, offset, first = runs(begin, size)
+        part = _OF_BYTE[LOWER[raw[at]]] * _OF_PLACE[np.minimum(offset, 255)]
+        word[has] = np.add.reduceat(part, first)
+        begins = np.add.reduceat(np.where(offset < STEM, part, np.uint64(0)), first)
+        stem[has] = np.where(size > STEM, begins + np.uint64(1), word[has])
+    return start, word, stem, shape
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """In order; sorting is several times faster here than numpy's unique."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def features(texts: list[str], langs: list[str | None], sources: list[str | None], sizes: list[int | None]) -> tuple[Rows, Rows]:
+    """The rows of both views: places of words and their beginnings; places and values of metadata."""
+    words, meta = [], []
+    for lo, hi in slices(texts, SLICE):
+        data = [t.encode() for t in texts[lo:hi]]
+        raw = np.frombuffer(b"\n".join(data), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)) + 1)
+        start, word, stem, shape = tokens(raw)
+        row = np.searchsorted(ends, start, "right")
+        n = np.bincount(row, minlength=hi - lo)
+        key = distinct(np.concatenate([row << WORD_BITS | mixed(word, WORD_BITS), row << WORD_BITS | mixed(stem, WORD_BITS)]))
+        words.append((lo + (key >> WORD_BITS), key & (WORD_DIM - 1)))
+        n_words = np.bincount(distinct(row << 40 | mixed(word, 40)) >> 40, minlength=hi - lo)
+        key, count = np.unique(row * SHAPE_DIM + mixed(shape, SHAPE_BITS), return_counts=True)
+        of = key // SHAPE_DIM
+        named = []
+        for i, t in enumerate(texts[lo:hi]):
+            lines = t.split("\n")
+            size = "?" if sizes[lo + i] is None else max(0, int(sizes[lo + i])).bit_length()
+            variety = round(8 * n_words[i] / min(n[i], 400)) if n[i] else "none"
+            names = (f"l={langs[lo + i]}", f"s={sources[lo + i]}", f"n={size}", f"ln={langs[lo + i]} {size}", f"v={variety}", f"r={round(8 * len(set(lines)) / len(lines))}", f"w={len(lines).bit_length()}")
+            names += (f"t={round(len(t) / n[i]) if n[i] else 0}",)
+            named.append([SHAPE_DIM + zlib.crc32(x.encode()) % (META_DIM - SHAPE_DIM) for x in names])
+        rows = np.concatenate([of, np.repeat(np.arange(hi - lo), len(named[0]))])
+        places = np.concatenate([key % SHAPE_DIM, np.array(named, np.int64).ravel()])
+        values = np.concatenate([3 * np.sqrt(count / np.maximum(n[of], 1)), np.ones(len(places) - len(of))])
+        order = np.argsort(rows, kind="stable")
+        meta.append((lo + rows[order], places[order], values[order]))
+    join = lambda parts, k: np.concatenate([*(p[k] for p in parts), np.zeros(0, np.int64)])
+    return Rows(len(texts), WORD_DIM, join(words, 0), join(words, 1)), Rows(len(texts), META_DIM, join(meta, 0), join(meta, 1), join(meta, 2))
 
 
 class Rows:
     """Sparse rows."""
 
-    def __init__(self, places: list[np.ndarray], values: list[np.ndarray] | None, dim: int):
-        self.n, self.dim = len(places), dim
-        size = np.fromiter(map(len, places), np.int64, len(places))
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), size)
-        self.place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int32)
-        self.value = np.ones(len(self.place), np.float32) if values is None else np.concatenate([*values, np.zeros(0)]).astype(np.float32)
+    def __init__(self, n: int, dim: int, row: np.ndarray, place: np.ndarray, value: np.ndarray | None = None):
+        self.n, self.dim, self.row, self.place = n, dim, row.astype(np.int32), place.astype(np.int32)
+        self.value = np.ones(len(place), np.float32) if value is None else value.astype(np.float32)
+
+    @classmethod
+    def of(cls, places: list[np.ndarray], values: list[np.ndarray] | None, dim: int) -> Rows:
+        row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        join = lambda x: np.concatenate([*x, np.zeros(0, np.int64)])
+        return cls(len(places), dim, row, join(places), None if values is None else join(values))
+
+    def each(self) -> list[slice]:
+        """Where each row's places are."""
+        bounds = np.searchsorted(self.row, np.arange(self.n + 1)).tolist()
+        return [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.place], self.n)
@@ -105,12 +168,9 @@ class Rows:
 
     def narrowed(self, keep: np.ndarray, scale: np.ndarray) -> Rows:
         """With only the places in `keep`, numbered anew, and their values scaled."""
-        out = Rows([], None, int(keep.sum()))
         at = keep[self.place]
-        out.n, out.row = self.n, self.row[at]
-        out.place = (np.cumsum(keep) - 1).astype(np.int32)[self.place[at]]
-        out.value = self.value[at] * scale[self.place[at]].astype(np.float32)
-        return out
+        place = self.place[at]
+        return Rows(self.n, int(keep.sum()), self.row[at], (np.cumsum(keep) - 1)[place], self.value[at] * scale[place])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -264,11 +324,9 @@ FEATURES = "words binary, meta binary"
 def packed(batch: pa.RecordBatch, at: int) -> list[pa.Array]:
     """The columns of FEATURES from a text at `at` and the metadata after it."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    words, meta = [], []
-    for x in zip(*(batch.column(at + i).to_pylist() for i in range(4)), strict=True):
-        w, place, value = features(*x)
-        words.append(pack(np.diff(w, prepend=0).astype("<u4").tobytes()))
-        meta.append(place.astype("<u2").tobytes() + value.astype("<f4").tobytes())
+    text, side = features(*(batch.column(at + i).to_pylist() for i in range(4)))
+    words = [pack(np.diff(text.place[x], prepend=0).astype("<u4").tobytes()) for x in text.each()]
+    meta = [side.place[x].astype("<u2").tobytes() + side.value[x].astype("<f4").tobytes() for x in side.each()]
     return [pa.array(words, pa.binary()), pa.array(meta, pa.binary())]
 
 
@@ -278,7 +336,7 @@ def unpacked(words: list[bytes], meta: list[bytes]) -> tuple[Rows, Rows]:
     size = [len(x) // 6 for x in meta]
     at = [np.frombuffer(x, "<u2", n) for x, n in zip(meta, size, strict=True)]
     values = [np.frombuffer(x, "<f4", n, 2 * n) for x, n in zip(meta, size, strict=True)]
-    return Rows(places, None, WORD_DIM), Rows(at, values, META_DIM)
+    return Rows.of(places, None, WORD_DIM), Rows.of(at, values, META_DIM)
 
 
 def metadata(docs: DataFrame) -> list:
@@ -367,8 +425,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(kept)), text_or_empty(text).alias("text"), *metadata(docs))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(*x) for x in zip(*(batch.column(n + i).to_pylist() for i in range(4)), strict=True)]
-        sides = Rows([x[0] for x in found], None, WORD_DIM), Rows([x[1] for x in found], [x[2] for x in found], META_DIM)
+        sides = features(*(batch.column(n + i).to_pylist() for i in range(4)))
         keep, columns = np.ones(batch.num_rows, bool), []
         for h, good in HEADS.items():
             p = sent.value[h].probabilities(sides)

@@ -67,8 +67,7 @@ def test_each_view_learns_from_the_other(spark):
     known = spark.createDataFrame(labels[:400], LABELS)
     truth = np.array([y for _, y, _ in labels[400:]])
     unseen = np.array([i % 2 == 1 for i in range(400, 1600)])
-    found = [q.features(*r[1:]) for r in rows[400:]]
-    sides = q.Rows([x[0] for x in found], None, q.WORD_DIM), q.Rows([x[1] for x in found], [x[2] for x in found], q.META_DIM)
+    sides = q.features(*map(list, list(zip(*rows[400:]))[1:]))
     right = {}
     for rounds in (0, 2):
         model = q.trained(docs, known, rounds=rounds)["quality"]
@@ -90,6 +89,38 @@ def test_rows_that_repeat_a_labelled_id_do_not_reach_the_driver(spark, monkeypat
     assert sizes == [40, 60]
 
 
+def plain_tokens(text):
+    """Word, beginning and shape of each token."""
+    out = []
+    for t in text.split():
+        word = t.strip(".,;:!?\"'()[]").lower()
+        shape = ""
+        for c in t:
+            k = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
+            if not shape or shape[-1] != k or k not in "Aa9":
+                shape += k
+        out.append((word, word[:4] + "-" if len(word) > 4 else word, shape[:8]))
+    return out
+
+
+def test_tokens_are_told_apart_as_by_a_plain_version():
+    rng = random.Random(12)
+    signs = "aAbB09.,!$ \n\t-"
+    text = "".join(rng.choice(signs) for _ in range(3000)) + " ... longword longest LONGER! x1x1x1x1x1x1"
+    found = [x.tolist() for x in q.tokens(np.frombuffer(text.encode(), np.uint8))[1:]]
+    for got, want in zip(found, zip(*plain_tokens(text))):
+        assert len(got) == len(want) and len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_features_do_not_depend_on_batches():
+    rows, _ = corpus(8, 40)
+    rows += [(90, "", None, None, None), (91, " \n ", "en", "s", 3), (92, "ünïcode É\x00 x" * 50, "de", None, -5)]
+    columns = list(map(list, list(zip(*rows))[1:]))
+    for whole, parts in zip(q.features(*columns), zip(*(q.features(*([c[i]] for c in columns)) for i in range(len(rows))))):
+        for at, one in zip(whole.each(), parts):
+            assert whole.place[at].tolist() == one.place.tolist() and np.allclose(whole.value[at], one.value)
+
+
 def test_confidence_is_measured():
     p = np.linspace(0, 1, 101)
     low, high = q.confident(p, (p > 0.5).astype(float))
