@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import in_arrow, map_arrow, text_or_empty
+from larder.llm.common import fresh, map_arrow, text_or_empty
 
 LEAST_WORDS = 3
 STEPS = (1, 2)
@@ -245,6 +245,8 @@ def in_blocks(items: DataFrame, size: int) -> Iterator[list]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents that hold no test item. Each row is judged by its own text, whatever rows share its key."""
-    rows = docs.withColumn("text_digest", F.md5(text_or_empty(text)))
-    bad = contaminated(rows, benchmark, text=text, key="text_digest", **options).select(F.col("text_digest").alias("bad_digest")).distinct()
-    return rows.join(bad, F.col("text_digest") == F.col("bad_digest"), "left_anti").select(*docs.columns)
+    of_row = fresh("text_digest", [*docs.columns, *benchmark.columns])
+    bad_digest = fresh("bad_digest", docs.columns)
+    rows = docs.withColumn(of_row, F.md5(text_or_empty(text)))
+    bad = contaminated(rows, benchmark, text=text, key=of_row, **options).select(F.col(of_row).alias(bad_digest)).distinct()
+    return rows.join(bad, F.col(of_row) == F.col(bad_digest), "left_anti").select(*docs.columns)

@@ -14,7 +14,7 @@ Bounds: regressions are fitted on at most `n_labelled` labelled documents, those
 they come to the driver, at most one row for each id. Pseudo-labels and scoring cover all documents; of them only class counts
 of a fixed length come to the driver. Pseudo-labelled documents of a kind weigh no more than the labelled ones of that kind.
 
-Defined results: a null or empty text has no words; null metadata is a value of its own; a document with several labels takes
+Defined results: a text without words, null ones too, has the labels' share as its probability; null metadata is a value of its own; a document with several labels takes
 their majority (a tie counts as 1), null labels don't count; of several texts under one labelled id the fit takes one; without
 labels, or with labels of one kind only, the probability is the labels' share, or null without any, and a null one rejects
 nothing. Repeated rows score alike. A very long text is handled as a whole, with memory in proportion to it. All columns are
@@ -308,7 +308,8 @@ class Model:
         if self.views is None:
             return np.full(sides[0].n, np.nan if self.share is None else self.share)
         logits = np.column_stack([v.logits(r) for v, r in zip(self.views, sides, strict=True)])
-        return sigmoid(np.clip(logits, -15, 15) @ self.combine[:-1] + self.combine[-1])
+        p = sigmoid(np.clip(logits, -15, 15) @ self.combine[:-1] + self.combine[-1])
+        return np.where(np.bincount(sides[0].row, minlength=sides[0].n) > 0, p, self.share)
 
 
 def handed_on(views: list[View], sides: tuple[Rows, Rows]) -> tuple[list[list[np.ndarray]], list[list[int]]]:

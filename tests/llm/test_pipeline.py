@@ -71,3 +71,18 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Vocabulary.load(path).ranks, special_tokens={})
     want = sorted((k, coder.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in rows)
     assert sorted((r.doc_id, list(r.ids), r.decoded_sha256) for r in cp.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_unrelated_documents_without_an_id_of_their_own_stay(spark, tmp_path):
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    texts = [say(40) for _ in range(5)]
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[2], 3), (5, texts[3], 4), (5, texts[4], 5), (5, texts[4], 5), (6, texts[4] + " end", 6)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, n, n, n) for k, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, keep int, n_lines int, kept_key int")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES[:4]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep", "n_lines", "kept_key"], name
+    assert sorted((r.text, r.keep) for r in docs.collect() if r.text) == sorted((t, n) for t, n in zip(texts, (1, 2, 3, 4, 5)))
