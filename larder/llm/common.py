@@ -15,6 +15,8 @@ from pyspark.storagelevel import StorageLevel
 BATCH_BYTES = 8 << 20
 #: Texts are handled in slices of about this many bytes, which bounds a Python worker's memory.
 SLICE_BYTES = 2_000_000
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +86,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder, so that a lost executor costs no recomputation of what came before."""
+    """Cut the lineage by a table in the shared folder, so that a lost executor costs no recomputation of what came before.
+
+    Once it is written nobody reads the shuffle files that led to it, so they go at once.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
