@@ -49,7 +49,10 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 def fingerprint(text: str, words: int = 4) -> int:
     """64 bits, each set if it is set in over half of the hashes of the text's shingles; zero without words."""
-    hashes = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
