@@ -263,3 +263,18 @@ def test_recurring_names_of_a_page_are_compared_once(spark):
     got = {(r.hash, r.row_id): (r.wanted_id, r.wanted_amount) for r in best.collect()}
     assert got == {("h", 0): ("102", 1), ("h", 1): ("103", 1), **{("h", i): (str(100 + i % 2), 1) for i in range(2, 6)}, ("h", 9): (None, None), ("g", 10): (None, None)}
     assert {(r.hash, r.row_id): r.wanted_id for r in pages.best_matches(rows, wanted).collect()}["h", 0] == "100"
+
+
+def test_matches_are_looked_up_without_a_shuffle(spark, monkeypatch):
+    recipes = spark.createDataFrame([(1, "a", ["2 kg Äpfel", "1 kg Birnen", None]), (2, "b", ["3 kg Äpfel"]), (3, "c", []), (4, "d", None)], "recipe_idx long, N string, I_raw array<string>")
+    occ = matcher.occurrences(recipes)
+    key = occ.where("raw = '3 kg Äpfel'").first().dedup_key
+    matches = spark.createDataFrame([(key, ["7", '"8', "9"]), ("other|", ["1"]), (None, ["2"])], "dedup_key string, product_ids array<string>")
+    found = matcher.looked_up(recipes, matches)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    plain = matcher.assemble(recipes, occ, matches)
+    assert found.columns == plain.columns and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert found.where("recipe_idx = 2").first().I[0].product_ids == ["7", '"8', "9"]
+    assert matcher.looked_up(recipes, matches.limit(0)).where("recipe_idx = 2").first().I[0].product_ids == []
+    monkeypatch.setattr(matcher, "FEW", 3)
+    assert matcher.looked_up(recipes, matches) is None
