@@ -399,7 +399,8 @@ def trained(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str
 
     source = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text"), *metadata(docs))
     rows = map_arrow(source, run, f"k {docs.schema[key].dataType.simpleString()}, {FEATURES}")
-    pool = cut(rows.join(known, "k", "left").select("k", "words", "meta", *ys))
+    # one plan at all sizes: labels that are broadcast on small tables would make the disk of large ones a surprise
+    pool = cut(rows.join(known.hint("merge"), "k", "left").select("k", "words", "meta", *ys))
     labelled = pool.where(F.coalesce(*ys).isNotNull())
     n = labelled.agg(F.approx_count_distinct("k")).first()[0]
     if n > n_labelled:  # those with small hashes, some more than needed, so that few rows are put in order
