@@ -278,3 +278,38 @@ def test_matches_are_looked_up_without_a_shuffle(spark, monkeypatch):
     assert matcher.looked_up(recipes, matches.limit(0)).where("recipe_idx = 2").first().I[0].product_ids == []
     monkeypatch.setattr(matcher, "FEW", 3)
     assert matcher.looked_up(recipes, matches) is None
+
+
+def test_stored_matches_grow_with_lines_and_lists_not_with_their_product(spark, tmp_path, monkeypatch):
+    """Each list of 300 ids is written once for its 400 lines; what is stored is the whole result."""
+    import duckdb
+
+    from larder.plans import shop_queries
+    from larder.plans.registry import ORACLES, QUERIES
+
+    part = [(i, ("red nut", "old bolt")[i % 2], 1) for i in range(600)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(o, o % 600, n, n) for o in range(200) for n in range(4)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(shop_queries, "scratch", lambda spark: str(tmp_path / "files"))
+    got = sorted((r.N, r.lines) for r in QUERIES["rematched_files"](spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    for t in ("part", "lineitem"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(c.sql(ORACLES["rematched_files"]).fetchall()) and len(got) == 200
+    assert sum(f.stat().st_size for f in (tmp_path / "files").rglob("part-*")) < 30_000  # lists inline: 1,446,400
+    shown = lambda rows: sorted(str([(i.raw, i.product_ids) for i in r.I]) for r in rows.collect())
+    whole = shown(matcher.stored(spark, str(tmp_path / "files")))
+    assert whole == shown(shop_queries.matched_orders(spark, str(tmp_path))) and "'299'" in whole[0] + whole[1]
+
+
+def test_stored_recipes_are_whole(spark, tmp_path):
+    recipes = spark.createDataFrame([(1, "a", ["2 kg Äpfel", "1 kg \"Birnen\"\n", None, " x "], 1.5), (2, "b", ["3 kg Äpfel", "3 kg Äpfel"], None), (3, "c", [], 1.0), (4, None, None, 1.0)], "recipe_idx long, N string, I_raw array<string>, rating double")
+    occ = matcher.occurrences(recipes)
+    key = occ.where("raw = '3 kg Äpfel'").first().dedup_key
+    matches = spark.createDataFrame([(key, ["7", '"8', "9"]), ("other|", ["1"]), (None, ["2"])], "dedup_key string, product_ids array<string>")
+    matcher.store(recipes.drop("recipe_idx"), matches, str(tmp_path / "m"))
+    rows = lambda df: sorted(str((r.N, r.rating, r.I)) for r in df.collect())
+    assert rows(matcher.stored(spark, str(tmp_path / "m"))) == rows(matcher.assemble(recipes, occ, matches))
+    assert [r.I_raw for r in tables.recipes_from_matched(matcher.stored_recipes(spark, str(tmp_path / "m"))).orderBy("N").collect()][1] == ["3 kg Äpfel"] * 2
+    matcher.store(recipes.drop("recipe_idx").limit(0), matches.limit(0), str(tmp_path / "none"))
+    assert matcher.stored(spark, str(tmp_path / "none")).count() == 0
